@@ -1,7 +1,7 @@
 """The queries of this folder and, where SQL can express them, their oracles."""
 
-from strandline.llm import mil_quality, simhash_ring
+from strandline.llm import bpe_prefix, mil_quality, simhash_ring
 
-MODULES = (mil_quality, simhash_ring)
+MODULES = (mil_quality, simhash_ring, bpe_prefix)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
