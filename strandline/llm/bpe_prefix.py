@@ -33,7 +33,7 @@ from strandline.llm.common import table
 REMEMBERED = 1 << 18
 _NEVER = 1 << 40
 #: The code points with the White_Space property.
-_BREAKS = re.compile("[\t-\r \x85\xa0  -     　]+")
+_BREAKS = re.compile("[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD_ASCII = re.compile("[\x1c-\x1f]")
 
 
