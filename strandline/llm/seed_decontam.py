@@ -20,10 +20,11 @@ repeated in the result.  An empty benchmark marks nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,19 +208,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataF
     return found
 
 
+def _clean(sent: Broadcast) -> Callable:
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = np.ones(len(texts), bool)
+            for row, _ in sent.value.overlaps([plain(t) for t in texts]):
+                out[row] = False
+            yield pd.Series(out)
+
+    return F.pandas_udf(clean, "boolean")
+
+
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that overlap no item; nothing is shuffled."""
     for index in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def clean(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            for texts in batches:
-                out = np.ones(len(texts), bool)
-                for row, _ in sent.value.overlaps([plain(t) for t in texts]):
-                    out[row] = False
-                yield pd.Series(out)
-
-        docs = docs.where(F.pandas_udf(clean, "boolean")(F.col(text)))
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(index))(F.col(text)))
     return docs
 
 
