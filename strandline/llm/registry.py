@@ -1,7 +1,7 @@
 """The queries of this folder and, where SQL can express them, their oracles."""
 
-from strandline.llm import bpe_prefix, line_winnow, mil_quality, seed_decontam, simhash_ring
+from strandline.llm import bpe_prefix, line_winnow, mil_quality, risk_rules, seed_decontam, simhash_ring
 
-MODULES = (mil_quality, line_winnow, simhash_ring, seed_decontam, bpe_prefix)
+MODULES = (mil_quality, line_winnow, simhash_ring, seed_decontam, bpe_prefix, risk_rules)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
