@@ -31,6 +31,8 @@ from strandline.llm.common import table
 
 #: Chunks of text that each worker remembers; forgotten all at once beyond that.
 REMEMBERED = 1 << 18
+#: Characters of decoded text that a worker gathers before it hands them on.
+SLICE = 4_000_000
 _NEVER = 1 << 40
 #: The code points with the White_Space property.
 _BREAKS = re.compile("[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -217,8 +219,29 @@ def decode(docs: DataFrame, coder: PrefixCoder, ids: str = "ids", out: str = "de
     return docs.withColumn(out, F.pandas_udf(run, "string").asNondeterministic()(F.col(ids)))
 
 
+def round_trip(docs: DataFrame, coder: PrefixCoder) -> DataFrame:
+    """doc_id, ids and decoded of every row, in one pass that holds about SLICE characters of results at a time."""
+    sent = docs.sparkSession.sparkContext.broadcast(coder)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sent.value
+        for pdf in batches:
+            at = 0
+            while at < len(pdf):
+                ids, decoded, size = [], [], 0
+                while at + len(ids) < len(pdf) and size < SLICE:
+                    text = pdf["text"].iat[at + len(ids)]
+                    ids.append(own.encode(text) if text else b"")
+                    decoded.append(own.decode(ids[-1]))
+                    size += len(decoded[-1])
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at : at + len(ids)].astype("Int64").array, "ids": ids, "decoded": decoded})
+                at += len(ids)
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary, decoded string")
+
+
 def digests(docs: DataFrame, coder: PrefixCoder) -> DataFrame:
-    coded = decode(encode(docs.select("doc_id", "text"), coder), coder)
+    coded = round_trip(docs, coder)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
