@@ -92,18 +92,20 @@ def passages(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return out, owner
     of_word = first_pass[part] + (np.arange(len(starts)) - first_word[part]) // PASSAGE_WORDS
-    # a byte belongs to the passage of the last word that began at or before it
-    cuts = np.flatnonzero(np.diff(of_word)) + 1
-    edges = np.concatenate((starts[:1], starts[cuts], [len(buf)]))
-    ids = of_word[np.concatenate(([0], cuts))]
-    inner = buf[edges[0] :]
-    of_byte = np.repeat(ids, np.diff(edges))
-    n_bytes = np.maximum(1, np.bincount(of_byte, minlength=total)).astype(np.float32)
-    kinds = np.bincount(of_byte * _CLASSES + _KIND[inner], minlength=total * _CLASSES).reshape(total, _CLASSES)
-    pair = (inner[:-1].astype(np.int64) * 31 + inner[1:].astype(np.int64) * 17 + (inner[:-1] >> 3)) & (_BIGRAMS - 1)
-    pairs = np.bincount(of_byte[:-1] * _BIGRAMS + pair, minlength=total * _BIGRAMS).reshape(total, _BIGRAMS)
-    out[:, :_CLASSES] = kinds / n_bytes[:, None]
-    out[:, _CLASSES : _CLASSES + _BIGRAMS] = pairs / n_bytes[:, None]
+    # a passage's bytes go from its first word to the next passage or to the end of its part; others count as ``total``
+    opens = np.concatenate(([0], np.flatnonzero(np.diff(of_word)) + 1))
+    ids, begin = of_word[opens], starts[opens]
+    close = np.minimum(np.append(begin[1:], len(buf)), (first_byte + sizes)[part[opens]])
+    edges = np.concatenate(([0], np.stack([begin, close], 1).ravel(), [len(buf)]))
+    labels = np.concatenate(([total], np.stack([ids, np.full(len(ids), total)], 1).ravel()))
+    of_byte = np.repeat(labels, np.diff(edges))
+    n_bytes = np.maximum(1, np.bincount(of_byte, minlength=total + 1)[:total]).astype(np.float32)
+    kinds = np.bincount(of_byte * _CLASSES + _KIND[buf], minlength=(total + 1) * _CLASSES).reshape(total + 1, _CLASSES)
+    pair = (buf[:-1].astype(np.int64) * 31 + buf[1:].astype(np.int64) * 17 + (buf[:-1] >> 3)) & (_BIGRAMS - 1)
+    inside = np.where(of_byte[:-1] == of_byte[1:], of_byte[:-1], total)
+    pairs = np.bincount(inside * _BIGRAMS + pair, minlength=(total + 1) * _BIGRAMS).reshape(total + 1, _BIGRAMS)
+    out[:, :_CLASSES] = kinds[:total] / n_bytes[:, None]
+    out[:, _CLASSES : _CLASSES + _BIGRAMS] = pairs[:total] / n_bytes[:, None]
     lengths = (ends - starts).astype(np.float64)
     n_words = np.maximum(1, np.bincount(of_word, minlength=total)).astype(np.float64)
     mean = np.bincount(of_word, lengths, total) / n_words
@@ -204,7 +206,8 @@ class GatedAttention:
                 weight[row] = weight[row] * old + sums[k] * new
                 z[row] = z[row] * old + sums_z[k] * new
                 top[row] = high
-        return 1 / (1 + np.exp(-((z / weight[:, None]) @ self.p["c"] + self.p["b"])))
+        # rounded, so that a text's neighbours in a batch don't show in its last digits
+        return np.round(1 / (1 + np.exp(-((z / weight[:, None]) @ self.p["c"] + self.p["b"]))), 9)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_docs: int = TRAIN_DOCS, fold: Callable = lambda c: fold_of(c, 5) != 0) -> GatedAttention:
