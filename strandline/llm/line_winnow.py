@@ -56,10 +56,12 @@ def windows(docs: DataFrame, run_words: int = RUN_WORDS, text: str = "text") ->
 
 def repeated(docs: DataFrame, run_words: int = RUN_WORDS, text: str = "text") -> DataFrame:
     """doc_id, th and cuts: the disjoint ranges of lines (i, j) that lie in later copies, in order."""
-    found = Stored(windows(docs, run_words, text), "windows").df
+    stored = Stored(windows(docs, run_words, text), "windows")
+    found = stored.df
     place = F.struct("doc_id", "th", "i")
     shared = found.groupBy("anchor").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("anchor")
     near = Stored(found.join(shared, "anchor").select("doc_id", "th", "i", "j", "k1", "k2"), "matches").df
+    stored.drop()
     first = near.groupBy("k1", "k2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("k1", "k2", "lo")
     later = near.join(first, ["k1", "k2"]).where(place != F.col("lo")).select("doc_id", "th", "i", "j").distinct()
     own = Window.partitionBy("doc_id", "th").orderBy("i", "j")
