@@ -25,7 +25,7 @@ PASSAGE_WORDS = 64
 #: Bound of the labelled sample that is trained on, in documents, and of the passages of each.
 TRAIN_DOCS, TRAIN_PASSAGES = 4000, 512
 #: Bytes of text that are looked at together; longer texts are cut between words.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 CUTOFF = 0.3
 _BIGRAMS = 64
 _SIGNS = b"!#$%&*|<>.,"
@@ -223,11 +223,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_docs: int
         return GatedAttention().fit(np.zeros((0, N_FEATURES)), np.zeros(0, int), np.zeros(0))
     spark = docs.sparkSession
     small = spark.createDataFrame(picked, "doc_id long, quality int")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(small), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(small), "doc_id")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [(t or "").encode("utf-8", "replace") for t in pdf["text"]]
+            texts = [t or b"" for t in pdf["text"]]
             bags: list[list[np.ndarray]] = [[] for _ in texts]
             for rows, parts in _pieces(texts):
                 x, owner = passages(parts)
@@ -249,9 +249,9 @@ def score(docs: DataFrame, model: GatedAttention, text: str = "text", out: str =
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(model.score([(t or "").encode("utf-8", "replace") for t in texts]))
+            yield pd.Series(model.score([t or b"" for t in texts]))
 
-    return docs.withColumn(out, scores.asNondeterministic()(F.col(text)))
+    return docs.withColumn(out, scores.asNondeterministic()(F.col(text).cast("binary")))
 
 
 def op1_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

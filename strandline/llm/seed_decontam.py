@@ -33,7 +33,7 @@ from strandline.llm.common import table
 MASKS = ("1101100101", "11010001011", "1011010011")
 OVERLAP, IDENTITY, SHORTEST = 13, 0.7, 5
 BLOCK_WORDS = 1_000_000
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
