@@ -32,6 +32,8 @@ from strandline.llm.components import components
 BUDGET = 2
 #: Distinct fingerprints that one bucket may hold before it is dealt anew.
 BUCKET = 4096
+#: Ids of removed documents that may be broadcast (8 bytes each).
+BROADCAST_IDS = 500_000
 _BLOCK = 1 << 15
 #: (bits of the ring, bits of a segment, segments that a chain within budget has equal)
 LEVELS = ((64, 4, 7), (36, 4, 4), (20, 4, 2))
@@ -169,11 +171,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share an id are one document, of which the least row stays.
     """
-    ids = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    ids = Stored(ids, "kept").df
-    kept = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    kept = kept.union(docs.where("doc_id IS NULL"))
-    again = ids.where("n > 1").select("doc_id")
+    rows = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id")
+    ids = Stored(rows.agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("leads")), "groups").df
+    # few go in most corpora: up to BROADCAST_IDS ids travel to the texts, more are joined by a shuffle
+    gone = ids.where("NOT leads OR n > 1").select("doc_id")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = ids.where("leads AND n > 1").select("doc_id")
     if not again.isEmpty():
         least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("x"))
         kept = kept.union(least.select("x.*"))
