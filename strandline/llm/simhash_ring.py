@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import Stored, table
 from strandline.llm.components import components
+from strandline.llm.near_copies import near_copies
 
 #: Bits that may differ.
 BUDGET = 2
@@ -167,11 +168,12 @@ def op3_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each group with the smallest id; rows without id stay.
+    """The document of each group of near copies with the smallest id; rows without id stay.
 
+    The groups are those of ``near_copies`` (five words, similarity 0.8); 3 words and 2 bits are the query's contract only.
     Rows that share an id are one document, of which the least row stays.
     """
-    rows = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id")
+    rows = near_copies(docs).where("doc_id IS NOT NULL").groupBy("doc_id")
     ids = Stored(rows.agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("leads")), "groups").df
     # few go in most corpora: up to BROADCAST_IDS ids travel to the texts, more are joined by a shuffle
     gone = ids.where("NOT leads OR n > 1").select("doc_id")
