@@ -3,11 +3,13 @@
 Fixed masks look at some of the words in a short window and ignore the rest, so a substituted word
 spoils only the windows in which it is looked at.  The masks' hashes of the benchmark are joined with
 those of every document; around each hit the item and the document are compared word by word along
-their common diagonal, and the best-scoring stretch (match +1, substitution -2) is the overlap.
+their common diagonal.  The overlap is the best-scoring stretch (match +1, substitution -2) if that
+counts, else the longest stretch that does.
 
-An overlap counts from ``OVERLAP`` words on, or from a whole item's words if it has fewer, with at
-least ``IDENTITY`` of them equal.  Words are lower-cased and stripped of ASCII punctuation.  Items too
-short for a mask are matched whole and exactly; items under ``SHORTEST`` words can't be told from
+A stretch counts from ``OVERLAP`` words on, or from a whole item's words if it has fewer, with at
+least ``IDENTITY`` of them equal.  However these are spread, one of the masks hits such a stretch (a test
+has the proof).  Words are lower-cased and stripped of ASCII punctuation.  Items under ``MASKED`` words
+are matched whole and exactly; items under ``SHORTEST`` words can't be told from
 ordinary prose and never match.
 
 The benchmark reaches the executors in blocks of at most ``BLOCK_WORDS`` words, however large it is;
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import table
 
-MASKS = ("1101100101", "11010001011", "1011010011")
-OVERLAP, IDENTITY, SHORTEST = 13, 0.7, 5
+MASKS = ("100110001", "1010011", "1100101", "1111")
+OVERLAP, IDENTITY, SHORTEST, MASKED = 13, 0.7, 5, 10
 BLOCK_WORDS = 1_000_000
 CHUNK_BYTES = 1 << 18
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -90,14 +92,13 @@ class SeedIndex:
         by_id = {i: t for t, i in least.items()}
         self.words = [word_hashes(by_id[i])[0] for i in self.ids.tolist()]
         self.longest = max((len(t) for t in least), default=0)
-        span = min(map(len, MASKS))
-        self.masks = list(MASKS) + sorted({"1" * len(w) for w in self.words if SHORTEST <= len(w) < span})
+        self.masks = list(MASKS) + sorted({"1" * len(w) for w in self.words if SHORTEST <= len(w) < MASKED})
         hashes, owner, at = [], [], []
         for k, words in enumerate(self.words):
             if len(words) < SHORTEST:
                 continue
             for mask in self.masks:
-                if (len(words) < span) == (mask == "1" * len(words)):
+                if (len(words) < MASKED) == (mask == "1" * len(words)):
                     seeds = _seeds(words, mask)
                     hashes.append(seeds)
                     owner.append(np.full(len(seeds), k))
@@ -148,8 +149,16 @@ class SeedIndex:
         gain = sums - np.minimum.accumulate(sums)
         stop = int(gain.argmax())
         start = int(sums[: stop + 1].argmin()) if stop else 0
-        n, same = stop - start, int(equal[start:stop].sum())
-        return (same, n) if n >= min(OVERLAP, len(item)) and same >= IDENTITY * n else None
+        n, same, need = stop - start, int(equal[start:stop].sum()), min(OVERLAP, len(item))
+        if n >= need and same >= IDENTITY * n:
+            return same, n
+        # the longest stretch with enough equal words: for each end, the first start whose sum isn't larger
+        sums = np.concatenate(([0], np.cumsum(np.where(equal, 100, 0) - round(100 * IDENTITY))))
+        starts = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")
+        sizes = np.arange(len(sums)) - starts
+        stop = int(sizes.argmax())
+        n = int(sizes[stop])
+        return (int(equal[stop - n : stop].sum()), n) if n >= need else None
 
     def _pieces(self, texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
         """Texts in groups of about CHUNK_BYTES; a longer one in parts that share more than any item's length."""

@@ -45,6 +45,42 @@ def test_against_brute_force(spark):
     assert all(n >= 13 and e >= d.IDENTITY * n for e, n in got.values())
 
 
+@pytest.mark.parametrize("size, changed", [(10, 1), (10, 3), (12, 3), (13, 3), (16, 2), (16, 3), (16, 4), (20, 4), (20, 6), (30, 9), (45, 13)])
+def test_spread_substitutions_of_whole_items(prose, size, changed):
+    """Whole items with 70 % of the words equal, wherever the others are; and one word more is found as by brute force."""
+    rng = random.Random(size * 100 + changed)
+    item = [f"{w}q{k}" for k, w in enumerate(prose(size, size).split())]
+    index = d.SeedIndex([(1, d.plain(" ".join(item)))])
+    for trial in range(300):
+        more = rng.choice([0, 0, 1, 3])
+        words = list(item)
+        for at in rng.sample(range(size), changed + more):
+            words[at] = f"other{trial}x{at}"
+        equal = [a == b for a, b in zip(words, item)]
+        need = min(13, size)
+        want = any(10 * sum(equal[a:b]) >= 7 * (b - a) for a in range(size) for b in range(a + need, size + 1))
+        assert want or more
+        got = index.overlaps([d.plain("before it " + " ".join(words) + " after it")])
+        assert ((0, 1) in got) == want
+        assert all(n >= need and 10 * e >= 7 * n for e, n in got.values())
+
+
+def test_masks_miss_no_stretch():
+    """The fewest substitutions that spoil every mask are too many, for all sizes; a stretch of 26 words or more has a half that counts."""
+    patterns = [(len(m), int(m, 2)) for m in d.MASKS]
+    fewest, keep = {0: 0}, (1 << max(map(len, d.MASKS)) - 1) - 1
+    for n in range(1, 26):
+        after = {}
+        for state, cost in fewest.items():
+            for bit in (0, 1):
+                window = state << 1 | bit
+                if not any(n >= size and window & p == p for size, p in patterns):
+                    key = window & keep
+                    after[key] = min(after.get(key, 99), cost + 1 - bit)
+        fewest = after
+        assert n < d.MASKED or min(fewest.values()) > 3 * n // 10
+
+
 def test_odd_rows(spark, odd_docs, prose):
     items = [(1, prose(2, 20)), (2, None), (None, prose(3, 30)), (3, ""), (4, prose(2, 20)), (5, "a b c"), (6, prose(77, 7))]
     bench = spark.createDataFrame(items, "item_id long, text string")
