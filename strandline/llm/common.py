@@ -43,6 +43,14 @@ class Stored:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(df: DataFrame, name: str, *used: Stored) -> DataFrame:
+    """``df``, written to the shared folder, so that the tables it was made from can go."""
+    out = Stored(df, name).df
+    for stored in used:
+        stored.drop()
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
