@@ -2,12 +2,13 @@
 
 A run is a stretch of consecutive lines of one document with at least ``RUN_WORDS`` words.  Each line
 that has words starts a forward window, the fewest lines from it on that hold RUN_WORDS words, and
-ends a backward one.  Windows depend on nothing but their own lines, so two copies of a run have
-equal windows, and these select equal minima of the line hashes: the fingerprint that winnowing
-guarantees for every shared run.  Fingerprints that occur at one position only rule their windows
-out; the others are joined by position with the windows around them, and a match is extended line by
-line, to the right by forward and to the left by backward windows, for as long as their whole lines
-occur earlier.  Every line of such a match is deleted, except at the first occurrence.
+ends a backward one.  Each window selects its least line hash (of equal ones the first) with its position: a fingerprint.
+Windows depend on nothing but their own lines, so two copies of a run select equal fingerprints at different
+positions; that is what winnowing guarantees for every shared run.  Fingerprints are joined by hash,
+and those that were selected at one position only are dropped, with all windows that rest on them: their lines are compared
+with nothing.  From the others a match is extended over whole windows, by the forward ones to the right
+and by the backward ones to the left, for as long as these occur earlier.  Every line of such a match
+is deleted, except at the first occurrence.
 
 So a line goes if and only if it lies in a run of RUN_WORDS words or more that also begins earlier, in a
 document with a smaller id or further up in its own (copies may overlap).  Lines are compared
@@ -24,14 +25,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACES, Stored, table
+from strandline.llm.common import SPACES, Stored, settled, table
 
 RUN_WORDS = 50
 _TRIM = " \t\r\x0b\x0c"
 
 
 def windows(docs: DataFrame, run_words: int = RUN_WORDS, text: str = "text") -> DataFrame:
-    """Forward and backward windows: doc_id, th, i, j (lines), anchor (least line hash), k1, k2 (content)."""
+    """Forward and backward windows: doc_id, th, i, j (lines), anchor and at (least line hash and its line), k1, k2 (content)."""
     lines = docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     lines = lines.withColumn("line", F.btrim("line", F.lit(_TRIM))).where("line != ''")
     lines = lines.select("doc_id", "th", "pos", F.size(F.split("line", SPACES)).cast("long").alias("w"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
@@ -48,27 +49,32 @@ def windows(docs: DataFrame, run_words: int = RUN_WORDS, text: str = "text") ->
         sides.append(
             F.when(
                 (F.col(f"{name}w") >= run_words) & ((first != last) if name == "b" else F.lit(True)),
-                F.struct(F.least(first, last).alias("i"), F.greatest(first, last).alias("j"), F.array_min(at["h1"]).alias("anchor"), F.xxhash64(hashes["h1"]).alias("k1"), F.xxhash64(F.lit(1), hashes["h2"]).alias("k2")),
+                F.struct(F.least(first, last).alias("i"), F.greatest(first, last).alias("j"), F.array_min(F.transform(at, lambda x: F.struct(x["h1"].alias("h"), x["pos"].alias("at")))).alias("least"), F.xxhash64(hashes["h1"]).alias("k1"), F.xxhash64(F.lit(1), hashes["h2"]).alias("k2")),
             )
         )
-    return lines.select("doc_id", "th", F.explode(F.array_compact(F.array(*sides))).alias("x")).select("doc_id", "th", "x.*")
+    return lines.select("doc_id", "th", F.explode(F.array_compact(F.array(*sides))).alias("x")).select("doc_id", "th", "x.i", "x.j", F.col("x.least.h").alias("anchor"), F.col("x.least.at").alias("at"), "x.k1", "x.k2")
+
+
+def anchored(found: DataFrame) -> DataFrame:
+    """The windows whose fingerprint was selected at two positions or more; no others can hold a copy."""
+    place = F.struct("doc_id", "th", "at")
+    shared = found.groupBy("anchor").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("anchor")
+    return found.join(shared, "anchor").select("doc_id", "th", "i", "j", "k1", "k2")
 
 
 def repeated(docs: DataFrame, run_words: int = RUN_WORDS, text: str = "text") -> DataFrame:
     """doc_id, th and cuts: the disjoint ranges of lines (i, j) that lie in later copies, in order."""
     stored = Stored(windows(docs, run_words, text), "windows")
-    found = stored.df
-    place = F.struct("doc_id", "th", "i")
-    shared = found.groupBy("anchor").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("anchor")
-    near = Stored(found.join(shared, "anchor").select("doc_id", "th", "i", "j", "k1", "k2"), "matches").df
+    matches = Stored(anchored(stored.df), "matches")
     stored.drop()
+    near, place = matches.df, F.struct("doc_id", "th", "i")
     first = near.groupBy("k1", "k2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("k1", "k2", "lo")
     later = near.join(first, ["k1", "k2"]).where(place != F.col("lo")).select("doc_id", "th", "i", "j").distinct()
     own = Window.partitionBy("doc_id", "th").orderBy("i", "j")
     before = F.max("j").over(own.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("i")).cast("int")).withColumn("island", F.sum("new").over(own))
     cuts = islands.groupBy("doc_id", "th", "island").agg(F.min("i").alias("i"), F.max("j").alias("j"))
-    return cuts.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("cuts"))
+    return settled(cuts.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("cuts")), "cuts", matches)
 
 
 def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, text: str = "text", lines: str = "n_lines", removed: str = "n_removed") -> DataFrame:

@@ -44,6 +44,21 @@ def test_against_brute_force(spark, prose, seed):
         assert (got[d]["text"], got[d]["n_removed"], got[d]["n_lines"]) == (kept, len(gone), len(docs[d].split("\n"))), d
 
 
+def test_only_windows_at_shared_fingerprints_are_compared(spark, prose):
+    """One long text without repeats, and a run that two others share: only the run's windows are left."""
+    alone = [(k, "\n".join(prose(100 * k + j, 12) for j in range(40))) for k in range(3)]
+    run = "\n".join(prose(7000 + j, 12) for j in range(8))
+    docs = spark.createDataFrame([*alone, (10, f"{prose(1, 60)}\n{run}"), (11, f"{run}\n{prose(2, 60)}")], "doc_id long, text string")
+    every = w.windows(docs)
+    near = w.anchored(every).collect()
+    rows = every.collect()
+    places = {}
+    for r in rows:
+        places.setdefault(r["anchor"], set()).add((r["doc_id"], r["th"], r["at"]))
+    assert sorted((r["doc_id"], r["i"], r["j"]) for r in near) == sorted((r["doc_id"], r["i"], r["j"]) for r in rows if len(places[r["anchor"]]) > 1)
+    assert {r["doc_id"] for r in near} == {10, 11} and len(rows) > 200 > 40 > len(near) >= 4
+
+
 def test_odd_rows(spark, odd_docs):
     out = w.dedup_lines(odd_docs)
     rows = out.collect()
