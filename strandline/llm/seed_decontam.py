@@ -9,19 +9,21 @@ counts, else the longest stretch that does.
 A stretch counts from ``OVERLAP`` words on, or from a whole item's words if it has fewer, with at
 least ``IDENTITY`` of them equal.  However these are spread, one of the masks hits such a stretch (a test
 has the proof).  Words are lower-cased and stripped of ASCII punctuation.  Items under ``MASKED`` words
-are matched whole and exactly; items under ``SHORTEST`` words can't be told from
-ordinary prose and never match.
+are matched whole and exactly, wherever they stand; items under ``SHORTEST`` words, which can't be told from
+ordinary prose, match documents that consist of nothing else.
 
-The benchmark reaches the executors in blocks of at most ``BLOCK_WORDS`` words, however large it is;
-each block is compared with all documents, so the size of what is broadcast is bounded.
+The benchmark reaches the executors in blocks of at most ``BLOCK_WORDS`` words, however large it is.
+A block is compared with all documents, its findings are stored, and it is taken back before the next
+one, so what is broadcast at a time is bounded.
 
-Rows: null and empty texts overlap nothing.  A null doc_id is carried through.  Repeated items are
+Rows: null and empty texts overlap nothing, items without a word neither.  A null doc_id is carried through.  Repeated items are
 one, under their least item_id; an item without id or text is left out.  Repeated documents are
 repeated in the result.  An empty benchmark marks nothing.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table
+from strandline.llm.common import Stored, table
 
 MASKS = ("100110001", "1010011", "1100101", "1111")
 OVERLAP, IDENTITY, SHORTEST, MASKED = 13, 0.7, 5, 10
@@ -90,8 +92,10 @@ class SeedIndex:
             least[key] = min(item, least.get(key, item))
         self.ids = np.array(sorted(least.values()), np.int64)
         by_id = {i: t for t, i in least.items()}
+        self.tiny = {t: i for t, i in least.items() if 0 < len(t.split()) < SHORTEST}
         self.words = [word_hashes(by_id[i])[0] for i in self.ids.tolist()]
-        self.longest = max((len(t) for t in least), default=0)
+        #: What a part of a long text has in common with the next: as many words as the longest item.
+        self.shared = re.compile(rb"[\x09-\x0d\x20]*(?:[^\x09-\x0d\x20]+[\x09-\x0d\x20]*+){0,%d}" % max(map(len, self.words), default=0))
         self.masks = list(MASKS) + sorted({"1" * len(w) for w in self.words if SHORTEST <= len(w) < MASKED})
         hashes, owner, at = [], [], []
         for k, words in enumerate(self.words):
@@ -114,6 +118,11 @@ class SeedIndex:
     def overlaps(self, texts: list[bytes]) -> dict[tuple[int, int], tuple[int, int]]:
         """(row, item_id) -> (equal words, words) of the best overlap; texts as ``plain`` gives them."""
         found: dict[tuple[int, int], tuple[int, int]] = {}
+        if self.tiny:
+            for row, text in enumerate(texts):
+                few = text.split(None, SHORTEST - 1)
+                if len(few) < SHORTEST and (key := b" ".join(few).rstrip()) in self.tiny:
+                    found[row, self.tiny[key]] = len(few), len(few)
         if not len(self.hashes):
             return found
         for rows, parts in self._pieces(texts):
@@ -161,8 +170,7 @@ class SeedIndex:
         return (int(equal[stop - n : stop].sum()), n) if n >= need else None
 
     def _pieces(self, texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-        """Texts in groups of about CHUNK_BYTES; a longer one in parts that share more than any item's length."""
-        shared = 4 * self.longest + 4096
+        """Texts in groups of about CHUNK_BYTES; a longer one in parts that share as many words as any item has."""
         rows, parts, size = [], [], 0
         for row, text in enumerate(texts):
             at = 0
@@ -171,7 +179,7 @@ class SeedIndex:
                 if end < len(text):
                     cut = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end))
                     end = cut if cut > at else end
-                part = text[at : end + shared]
+                part = text[at : self.shared.match(text, end).end()]
                 if parts and size + len(part) > CHUNK_BYTES:
                     yield rows, parts
                     rows, parts, size = [], [], 0
@@ -198,9 +206,12 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> I
         yield SeedIndex(items)
 
 
+_FOUND = "doc_id long, item_id long, n_equal long, n_words long"
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, item_id, n_equal, n_words: the best overlap of every document and item that have one."""
-    rows, found = docs.select("doc_id", F.col(text).alias("text")), None
+    rows, found = docs.select("doc_id", F.col(text).alias("text")), docs.sparkSession.createDataFrame([], _FOUND)
     for index in blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -210,10 +221,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataF
                 ids = pdf["doc_id"].astype("Int64")
                 yield pd.DataFrame({"doc_id": [ids.iat[r] for r, _ in got], "item_id": [i for _, i in got], "n_equal": [e for e, _ in got.values()], "n_words": [n for _, n in got.values()]}).astype({"doc_id": "Int64"})
 
-        part = rows.mapInPandas(run, "doc_id long, item_id long, n_equal long, n_words long")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_equal long, n_words long")
+        found = found.union(Stored(rows.mapInPandas(run, _FOUND), "overlaps").df)
+        sent.destroy()
     return found
 
 
@@ -229,10 +238,25 @@ def _clean(sent: Broadcast) -> Callable:
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that overlap no item; nothing is shuffled."""
+    """The documents that overlap no item.
+
+    One block filters the rows as they pass.  Of several, each but the last marks rows (by hashes of id and text) in a stored table.
+    """
+    last, marked = None, None
+    key = F.xxhash64("doc_id", text), F.xxhash64(F.lit(1), F.col("doc_id"), F.col(text))
     for index in blocks(benchmark):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(index))(F.col(text)))
-    return docs
+        if last is not None:
+            sent = docs.sparkSession.sparkContext.broadcast(last)
+            hit = Stored(docs.where(~_clean(sent)(F.col(text))).select(key[0].alias("__a"), key[1].alias("__b")), "hits").df
+            marked = hit if marked is None else marked.union(hit)
+            sent.destroy()
+        last = index
+    if last is None:
+        return docs
+    kept = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(last))(F.col(text)))
+    if marked is None:
+        return kept
+    return kept.join(marked.distinct(), (key[0] == F.col("__a")) & (key[1] == F.col("__b")), "left_anti")
 
 
 def op7_seed_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,14 @@ def test_blocks_and_parts_find_the_same(spark, prose, monkeypatch, words):
     index = d.SeedIndex([(i, d.plain(t)) for i, t in items])
     monkeypatch.setattr(d, "CHUNK_BYTES", 1000)
     assert set(index.overlaps([d.plain(t) for _, t in docs])) == {(k, k % 6) for k in range(12)}
+    assert set(index.overlaps([d.plain(t.replace(" ", " " * 700)) for _, t in docs])) == {(k, k % 6) for k in range(12)}
+    both = [*docs[:6], (20, prose(900, 100)), (None, prose(901, 30)), (None, docs[0][1])]
+    kept = d.without_overlaps(spark.createDataFrame(both, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r["text"] for r in kept.collect()) == sorted((prose(900, 100), prose(901, 30)))
+
+
+def test_items_of_few_words(spark):
+    """They match whole documents only."""
+    items = [(1, "Who was it?"), (2, "yes"), (3, ""), (4, "a b c d")]
+    docs = [(1, " who  was\nIT "), (2, "Yes."), (3, "yes yes"), (4, "who was it then"), (5, ""), (6, None), (7, "a b c d" + " " * 5000), (8, "a b c d e")]
+    assert found(spark, docs, items) == {(1, 1): (3, 3), (2, 2): (1, 1), (7, 4): (4, 4)}
