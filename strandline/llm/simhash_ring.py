@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import Stored, table
 from strandline.llm.components import components
-from strandline.llm.near_copies import near_copies
+from strandline.llm.near_copies import near_copies, node_of
 
 #: Bits that may differ.
 BUDGET = 2
@@ -171,18 +171,23 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each group of near copies with the smallest id; rows without id stay.
 
     The groups are those of ``near_copies`` (five words, similarity 0.8); 3 words and 2 bits are the query's contract only.
-    Rows that share an id are one document, of which the least row stays.
+    Rows that share an id are told apart by their words: where they are no near copies, each group keeps its own.
+    Of rows with equal ids and words the least stays.
     """
-    rows = near_copies(docs).where("doc_id IS NOT NULL").groupBy("doc_id")
-    ids = Stored(rows.agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("leads")), "groups").df
+    found = near_copies(docs).where("doc_id IS NOT NULL")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    rows = found.join(first, "root").select("doc_id", "node", (F.struct("doc_id", "node") == F.col("first")).alias("leads"))
+    rows = Stored(rows.groupBy("doc_id", "node").agg(F.count("*").alias("n"), F.first("leads").alias("leads")), "groups").df
+    ids = rows.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("leads").alias("leads"))
     # few go in most corpora: up to BROADCAST_IDS ids travel to the texts, more are joined by a shuffle
     gone = ids.where("NOT leads OR n > 1").select("doc_id")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = ids.where("leads AND n > 1").select("doc_id")
+    again = rows.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").where("leads").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"))
     if not again.isEmpty():
-        least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("x"))
-        kept = kept.union(least.select("x.*"))
+        shared = docs.join(ids.where("leads AND n > 1").select("doc_id"), "doc_id", "left_semi").select(F.struct(*docs.columns).alias("x"), node_of("text").alias("__n"))
+        shared = shared.join(again, (F.col("x.doc_id") == F.col("__id")) & (F.col("__n") == F.col("__node")))
+        kept = kept.union(shared.groupBy("__id", "__node").agg(F.min("x").alias("x")).select("x.*"))
     return kept
 
 

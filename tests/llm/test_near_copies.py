@@ -77,3 +77,23 @@ def test_stage_drops_edited_copies(spark, prose):
     rows += [(100 + k, edited(t, 75, prose, k)) for k, t in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash_ring.stage(spark, docs, "").collect()) == list(range(20))
+
+
+def test_groups_beyond_a_task(spark, copies, prose, monkeypatch):
+    """With blocks of a few nodes the components are those of whole groups."""
+    base = prose(5, 100)
+    rows = copies + [(1000 + k, edited(base, 97 if k % 3 else 33, prose, k)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {r["doc_id"]: r["component_id"] for r in n.near_copies(docs).collect()}
+    monkeypatch.setattr(n, "BLOCK_NODES", 5)
+    monkeypatch.setattr(n, "PIVOTS", 1)
+    assert {r["doc_id"]: r["component_id"] for r in n.near_copies(docs).collect()} == want
+    assert sum(want[1000 + k] == want[1001] for k in range(60)) >= 40 and len({want[1000 + k] for k in range(60)}) > 5
+
+
+def test_stage_tells_texts_of_one_id_apart(spark, prose):
+    one, two, three = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, one, "a"), (1, two, "b"), (1, one.upper(), "c"), (2, edited(two, 100, prose, 1), "d"), (3, three, "e"), (3, three, "e"), (None, one, "f"), (None, three, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r["doc_id"] or 0, r["source"]) for r in simhash_ring.stage(spark, docs, "").collect())
+    assert got == [(0, "f"), (0, "g"), (1, "a" if one < one.upper() else "c"), (1, "b"), (3, "e")]
