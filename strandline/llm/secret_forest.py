@@ -1,23 +1,33 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least ``SHORTEST`` characters of keys and tokens with a digit in it.  The
-forest looks at its length, its character transitions, how much of it dictionary words cover, the path
-of its document and the words beside it.  It is trained on labelled findings, a bounded table, and
-becomes one SQL expression, so scanning is DataFrame operations only.
-
-``seed_findings`` makes the labelled findings that the query trains on: keys and passwords in the
-forms in which they are issued and assigned, and what is commonly mistaken for them.  With findings of
-your own, pass those to ``train`` instead.
+Candidates are runs of characters of keys and tokens (of ``SHORTEST`` characters with a digit, or of ``LETTERS`` with
+capitals inside), whatever of ``VALUE`` characters or more is assigned to a name of a secret or said to be one,
+passwords in addresses, and the heads of private keys.  The patterns are wide; what counts is
+left to the forest.  It looks at a candidate's length, its character transitions, how much of it dictionary words cover, the
+path of its document and the words beside it.
+
+The dictionary is the corpus's own: the ``DICTIONARY`` commonest words of its texts.  From these come the
+transitions, too: how likely each letter follows the one before.  Which words beside a candidate and in its path
+speak for or against a secret is learned from the labelled findings, with the forest.  Findings are lines with
+their path and the secret in them, if any, a bounded table.  Forest, words and transitions become one SQL expression,
+so scanning is DataFrame operations only.
+
+``seed_findings`` writes the labelled findings that the query trains on: settings, code, addresses, headers and prose in
+which keys and passwords are given, and in which what is commonly mistaken for them stands.  With findings
+of your own, pass those to ``train`` instead.
 
 Rows: null and empty texts have no candidates.  A null path is an empty one, a null doc_id is carried
-through.  Repeated rows give repeated findings.  Extra columns are ignored.  Findings without both
-labels train a forest that gives the share of label 1.
+through.  Repeated rows give repeated findings, and so do candidates that are repeated in a word.  Extra columns
+are ignored.  Findings without both labels train a forest that gives the share of label 1; without any it is 0.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import string
+from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,98 +35,198 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import SPACES, table
 
-SHORTEST = 12
-TREES, DEPTH, LEAF = 20, 6, 3
+SHORTEST, LETTERS, VALUE = 12, 20, 6
+DICTIONARY, NEIGHBOURS = 4096, 200
+TREES, DEPTH, LEAF = 24, 6, 2
 CUTOFF = 0.5
 _CHARS = r"A-Za-z0-9+/_\-"
-#: Tried only where a run begins, so a scan is linear however long a run is.
-CANDIDATE = rf"(?<![{_CHARS}])(?=[A-Za-z+/_\-]*+[0-9])[{_CHARS}]{{{SHORTEST},}}+={{0,2}}"
-#: Words whose cover of a candidate speaks against chance.
-DICTIONARY = "about account admin and api app archive article base build cache chapter client code commit config content data date default demo detail device document event example false file for from group head html http image index info item label lang line list local login log mail main master media message model module name node null object order output page part path phone photo place print product profile public query record region release report request response result sample schema script section server service session site source start state status step string style system table test text the this time title token topic total trace true type update upload user value version video view web with word world year".split()
-_SECRET_WORDS = "token|secret|passw|pwd|api.?key|apikey|auth|bearer|credential|access.?key|private|aws|login"
-_OTHER_WORDS = "sha|md5|commit|hash|checksum|digest|uuid|guid|card|phone|tel|order|isbn|invoice|http|www|href|src|version|build|serial|rev|etag|fax|iban|account|no\\."
-_LOW_PATHS = "test|example|sample|fixture|mock|demo|vendor|\\.lock|docs?/|\\.md$|\\.svg$|\\.map$"
-FEATURES = ["length", "digits", "capitals", "changes", "vowel_pairs", "cover", "variety", "hexadecimal", "runs", "issued", "secret_near", "other_near", "assigned", "quoted", "low_path"]
-
-
-def features(found: DataFrame) -> DataFrame:
-    """``found`` with FEATURES; it has candidate, prefix (what stands before it in its word), before, after and path."""
-    c, n = F.col("candidate"), F.length("candidate")
-    low, near = F.lower("candidate"), F.lower(F.concat_ws(" ", "before", "prefix"))
-    share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
-    made = {
-        "length": n,
-        "digits": share("[0-9]"),
-        "capitals": share("[A-Z]"),
-        "changes": share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
-        "vowel_pairs": F.regexp_count(low, F.lit("(?<=[aeiouy])(?=[b-df-hj-np-tv-xz])|(?<=[b-df-hj-np-tv-xz])(?=[aeiouy])")) / n,
-        "cover": 1 - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / n,
-        "variety": F.size(F.array_distinct(F.split(c, ""))) / n,
-        "hexadecimal": low.rlike("^[0-9a-f]+$").cast("int"),
-        "runs": F.regexp_count(c, F.lit(r"(.)\1{2,}")),
-        "issued": c.rlike("^(AKIA|ASIA|AIza|ghp_|gho_|sk_live_|rk_live_|xox[abp]-|glpat-|eyJ|SG_|npm_)").cast("int"),
-        "secret_near": near.rlike(_SECRET_WORDS).cast("int"),
-        "other_near": near.rlike(_OTHER_WORDS).cast("int"),
-        "assigned": F.concat_ws(" ", "before", "prefix").rlike("[=:]>?[\\s\"'`]*$").cast("int"),
-        "quoted": F.col("prefix").rlike("[\"'`]$").cast("int"),
-        "low_path": F.lower(F.coalesce("path", F.lit(""))).rlike(_LOW_PATHS).cast("int"),
-    }
-    return found.withColumns({k: v.cast("double") for k, v in made.items()})
-
-
-def seed_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, str, str, int]]:
-    """(candidate, prefix, before, after, path, label): half keys and passwords, half what is mistaken for them."""
+_NAME = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|key|pin|auth|credentials?)[A-Za-z0-9_]{0,12}+[\"'`]?"
+_OPEN = r"[\"'`(\[{]*+"
+_BODY = rf"[^\s\"'`,;)\]}}@]{{{VALUE},}}+"
+#: What stands before a value in its own word: a secret's name and a sign, or an address's user.
+_BEFORE = rf"(?:{_NAME}(?:=>|:=|=|:){_OPEN}|://[^\s/:@]{{1,64}}+:|://(?=[^\s/:@]{{{VALUE},}}+@))"
+_RUN = rf"(?<![{_CHARS}])eyJ[A-Za-z0-9_\-]++(?:\.[A-Za-z0-9_\-]++)++|(?<![{_CHARS}])(?=[A-Za-z+/_\-]*+[0-9])[{_CHARS}]{{{SHORTEST},}}+={{0,2}}|(?<![{_CHARS}])(?=[{_CHARS}]*?[a-z][A-Z])[{_CHARS}]{{{LETTERS},}}+={{0,2}}"
+#: Runs are tried only where they begin, so a scan is linear however long a run is.
+CANDIDATE = rf"{_BEFORE}{_BODY}|{_RUN}"
+#: What stands in the words before a value.
+_GIVEN = rf"{_NAME}\s*(?:=>|:=|=|:|\sis)$|--?{_NAME}$"
+_LEADS = r"(?:[:=]>?|^is)$|^--?[A-Za-z]"
+_ANYWHERE = rf"(?:{_NAME}\s*(?:=>|:=|=|:|\sis)|--?{_NAME})\s+{_OPEN}{_BODY}"
+_PEM = "-----BEGIN"
+FEATURES = ["length", "digits", "capitals", "signs", "changes", "transitions", "cover", "variety", "hexadecimal", "runs", "assigned", "quoted", "near_for", "near_against", "after_for", "after_against", "path_for", "path_against"]
+
+
+def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> list[str]:
+    """The ``size`` commonest words of four letters or more, over all texts."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}{4,40}+"), 0)).alias("w"))
+    return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).collect()]
+
+
+def _letter(c: str) -> int:
+    return ord(c) - 96 if "a" <= c <= "z" else 0
+
+
+def transitions(words: list[str]) -> list[float]:
+    """log10 P(letter | letter before), 27 x 27 in a row; 0 is any other character."""
+    n = np.ones((27, 27))
+    for w in words:
+        for a, b in zip(w, w[1:]):
+            n[_letter(a), _letter(b)] += 1
+    return np.log10(n / n.sum(1, keepdims=True)).ravel().tolist()
+
+
+@dataclass
+class Scanner:
+    """What scanning needs: words, their transitions, neighbours that speak for and against, and the forest."""
+
+    words: list[str]
+    neighbours: dict[str, list[str]] = field(default_factory=dict)
+    forest: Forest | None = None
+
+    def features(self, found: DataFrame) -> DataFrame:
+        """``found`` with FEATURES; it has candidate, prefix (what stands before it in its word), before, after and path."""
+        c, n = F.col("candidate"), F.length("candidate")
+        low = F.lower("candidate")
+        share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
+        letters = F.split(low, "")
+        code = lambda x: F.when((x >= "a") & (x <= "z") & (F.length(x) == 1), F.ascii(x) - 96).otherwise(0)
+        table_ = F.array(*[F.lit(x) for x in transitions(self.words)])
+        steps = F.zip_with(F.slice(letters, 1, F.greatest(n - 1, F.lit(0))), F.slice(letters, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.get(table_, code(a) * 27 + code(b)))
+        # the letters of a candidate, cut at other signs and before capitals
+        parts = F.regexp_extract_all(c, F.lit(r"\p{Lu}?\p{Ll}+|\p{Lu}+"), 0)
+        known = F.filter(parts, lambda x: F.lower(x).isin(self.words) if self.words else F.lit(False))
+        made = {
+            "length": n,
+            "digits": share("[0-9]"),
+            "capitals": share("[A-Z]"),
+            "signs": share(rf"[^{_CHARS}]"),
+            "changes": share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
+            "transitions": F.aggregate(steps, F.lit(0.0), lambda x, y: x + y) / F.greatest(n - 1, F.lit(1)),
+            "cover": F.aggregate(known, F.lit(0), lambda x, y: x + F.length(y)) / n,
+            "variety": F.size(F.array_distinct(letters)) / n,
+            "hexadecimal": low.rlike("^[0-9a-f]+$").cast("int"),
+            "runs": F.regexp_count(c, F.lit(r"(.)\1{2,}")),
+            "assigned": F.concat_ws(" ", "before", "prefix").rlike("(?:[=:]>?|\\sis)[\\s\"'`]*$").cast("int"),
+            "quoted": F.col("prefix").rlike("[\"'`]$").cast("int"),
+        }
+        for name, beside in (("near", F.concat_ws(" ", "before", "prefix")), ("after", F.col("after")), ("path", F.coalesce("path", F.lit("")))):
+            tokens = F.regexp_extract_all(F.lower(beside), F.lit("[a-z]{2,}"), 0)
+            for side in ("for", "against"):
+                made[f"{name}_{side}"] = _among(tokens, self.neighbours.get(f"{name}_{side}", []))
+        return found.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in made.items()})
+
+
+def _among(tokens: Column, words: list[str]) -> Column:
+    """How many of the tokens are among the words."""
+    return F.size(F.filter(tokens, lambda x: x.isin(words))) if words else F.lit(0)
+
+
+def _sides(rows: list, text, least: int = 6) -> tuple[list[str], list[str]]:
+    """Words beside the candidates that stand by secrets, or by others, at least three times as often as their share."""
+    by, n = (Counter(), Counter()), [1, 1]
+    for r in rows:
+        n[r["label"]] += 1
+        by[r["label"]].update(set("".join(x if "a" <= x <= "z" else " " for x in (text(r) or "").lower()).split()))
+    odds = {w: math.log((by[1][w] + 1) / (n[1] + 2)) - math.log((by[0][w] + 1) / (n[0] + 2)) for w in by[0].keys() | by[1].keys() if by[0][w] + by[1][w] >= least and len(w) > 1}
+    order = sorted(odds, key=lambda w: (-abs(odds[w]), w))[:NEIGHBOURS]
+    return sorted(w for w in order if odds[w] >= math.log(3)), sorted(w for w in order if odds[w] <= -math.log(3))
+
+
+_WORDS = "user account build release server client order invoice table page image request response session cache queue worker report item field value index width height margin color status update create delete handler service module package example sample default object string number method class result buffer stream header footer button label input output".split()
+
+
+def seed_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str | None]]:
+    """(line, path, secret or None): half with a secret in one of many forms, half with what is mistaken for one."""
     rng = random.Random(seed)
     some = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
+    pick = rng.choice
     hexes, alnum, upper = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
-    syllables = "an be ci do er fo ga he in jo ka le mi no or pe qua re si ta un ver wi ton sche mente eau tion".split()
-    word = lambda: some(syllables, rng.randint(1, 3))
-    prose = lambda: f"{word()} {word()}"
-    path = lambda: rng.choice(["", "src3", "src17", f"src/{word()}.py", f"{word()}/{word()}.txt", f"tests/{word()}.py", "docs/readme.md"])
-    digit = lambda t: t if any(x.isdigit() for x in t) else t[:-1] + rng.choice(string.digits)
+    word = lambda: pick(_WORDS)
+    prose = lambda: " ".join(word() for _ in range(rng.randint(1, 4)))
+    uuid = lambda: "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12))
+    camel = lambda: word() + "".join(word().capitalize() for _ in range(rng.randint(2, 4)))
+    code_path = lambda: pick([f"src/{word()}/{word()}.py", f"{word()}/{word()}.js", f"config/{word()}.yml", ".env", f"deploy/{word()}.sh", f"{word()}.json", "settings.ini", "", f"{word()}"])
+    low_path = lambda: pick([f"tests/test_{word()}.py", "docs/guide.md", f"examples/{word()}.py", "yarn.lock", "package-lock.json", f"fixtures/{word()}.json", "", f"{word()}"])
+    values = [
+        lambda: some(hexes, pick([32, 40, 40, 64])),
+        lambda: some(alnum, rng.randint(16, 44)),
+        lambda: some(alnum + "+/", 40) + pick(["", "=", "=="]),
+        lambda: pick(["AKIA", "ASIA"]) + some(upper, 16),
+        lambda: pick(["ghp_", "gho_", "sk_live_", "rk_live_", "glpat-", "AIza", "npm_", "xoxb-"]) + some(alnum, rng.randint(20, 36)),
+        lambda: "eyJ" + some(alnum, rng.randint(20, 40)) + "." + some(alnum + "_-", rng.randint(30, 60)),
+    ]
+    passwords = [
+        lambda: some(alnum + "!#$%&*+?^", rng.randint(8, 16)),
+        lambda: word().capitalize() + some(string.digits, rng.randint(2, 4)) + pick("!?#$%*"),
+        lambda: "-".join(pick([word(), some(string.ascii_lowercase, rng.randint(4, 7))]) for _ in range(rng.randint(3, 4))) + pick(["", some(string.digits, 2)]),
+        lambda: some(hexes, 8) + pick(["", some(hexes, 4)]),
+        lambda: some(string.ascii_letters, rng.randint(10, 24)),
+    ]
+    names = ["password", "passwd", "pwd", "token", "secret", "api_key", "auth_token", "access_key", "client_secret", "secret_key", "DB_PASSWORD", "API_TOKEN", "pin", "passphrase", "private_key", "apiKey", "accessToken"]
     out = []
     for _ in range(n // 2):
-        kind = rng.randrange(7)
-        name = rng.choice(["password", "passwd", "token", "secret", "api_key", "auth", "access_key", "pwd"])
-        quote = rng.choice(['"', "'", ""])
-        if kind == 0:
-            row = ("AKIA" + some(upper, 16), "", prose(), prose())
-        elif kind == 1:
-            row = (some(hexes, rng.choice([32, 40, 40, 64])), quote, f"{name} {rng.choice(['=', ':'])}", prose())
-        elif kind == 2:
-            row = (some(hexes + ("" if rng.random() < 0.5 else string.ascii_letters), rng.randint(14, 24)), f"{name}{rng.choice('=:')}{quote}", prose(), prose())
-        elif kind == 3:
-            row = (rng.choice(["ghp_", "sk_live_", "glpat-", "AIza", "npm_"]) + some(alnum, rng.randint(20, 36)), rng.choice(["", f"{name}="]), prose(), prose())
-        elif kind == 4:
-            row = (some(alnum + "+/", 40), quote, f"{name} =", prose())
-        elif kind == 5:
-            row = ("eyJ" + some(alnum + "_-", rng.randint(30, 80)), "", f"{prose()} Bearer", prose())
-        else:
-            row = (some(alnum, rng.randint(16, 40)), rng.choice([f"{name}=", f'{name}:"', quote]), rng.choice([f"{name} is", f"my {name}", f"{name} ="]), prose())
-        out.append((digit(row[0]), *row[1:], path(), 1))
+        strong = rng.random() < 0.6
+        value, name, q = pick(values if strong else passwords)(), pick(names), pick(['"', "'"])
+        forms = [
+            f"{name}={value}",
+            f"export {name.upper()}={q}{value}{q}",
+            f"{name}: {value}",
+            f"{name} = {q}{value}{q}",
+            f'"{name}": "{value}",',
+            f"{name} := {q}{value}{q};",
+            f"{word()}({name}={q}{value}{q}, {word()}=1)",
+            f"the {name} is {value}",
+            f"my {name} is {value} {prose()}",
+            f"{prose()} {name} => {q}{value}{q}",
+            f"postgres://{word()}:{value}@{word()}.internal:5432/{word()}",
+            f"https://{word()}:{value}@{word()}.example.org/{word()}",
+        ]
+        if strong:
+            forms += [f"Authorization: Bearer {value}", f"{prose()} {value} {prose()}", f"curl -H {q}X-Api-Key: {value}{q}", f"{word()} --{name} {value}", f"git clone https://{value}@{word()}.org/{word()}", f"{value}"]
+        line = pick(forms)
+        if rng.random() < 0.03:
+            line, value = f"-----BEGIN {pick(['RSA ', 'EC ', 'OPENSSH ', ''])}PRIVATE KEY-----", _PEM
+        elif "://" in line:  # a slash would end it there
+            line, value = line.replace(value, value.replace("/", "_")), value.replace("/", "_")
+        out.append((f"{prose()} {line}" if rng.random() < 0.3 else line, code_path() if rng.random() < 0.9 else low_path(), value))
     for _ in range(n - n // 2):
-        kind = rng.randrange(9)
-        if kind == 0:
-            row = (some(string.digits, rng.choice([13, 15, 16, 16, 16, 19])), "", rng.choice([prose(), "card no.", "order"]), prose())
-        elif kind == 1:
-            h = some(hexes, 32)
-            row = (f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}", rng.choice(["", "id="]), rng.choice([prose(), "uuid", "id"]), prose())
-        elif kind == 2:
-            row = (some(hexes, rng.choice([12, 32, 40, 64])), rng.choice(["", "sha256:", "md5-"]), rng.choice(["commit", "sha1", "md5", "checksum", "hash of"]), prose())
-        elif kind == 3:
-            row = (f"{rng.choice(DICTIONARY)}_{rng.choice(DICTIONARY)}_{rng.choice(DICTIONARY)}{rng.randint(0, 99)}", "", prose(), prose())
-        elif kind == 4:
-            row = ("/".join(rng.choice(DICTIONARY) for _ in range(rng.randint(2, 5))) + f"/{rng.randint(0, 9999)}", "", rng.choice([prose(), "href"]), prose())
-        elif kind == 5:
-            row = (rng.choice(["xxxxxxxxxxxx1", "000000000000", "123456789012", "your-token-here-1", "EXAMPLE_KEY_0001", "changeme12345", "AAAAAAAAAAAAAAA1"]), rng.choice(["", "token=", "password="]), rng.choice([prose(), "password =", "example"]), prose())
-        elif kind == 6:
-            row = (f"{rng.randint(1970, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{some(string.digits, 6)}", "", prose(), prose())
-        elif kind == 7:
-            row = (word() + word() + word() + word() + word() + some(string.digits, rng.randint(1, 3)), "", prose(), prose())
-        else:
-            row = (f"+{some(string.digits, rng.randint(11, 14))}", "", rng.choice(["phone", "tel", "fax", prose()]), prose())
-        text = digit(row[0])
-        out.append((text if len(text) >= SHORTEST else text + some(string.digits, SHORTEST - len(text)), *row[1:], path(), 0))
+        name, q = pick(names), pick(['"', "'", ""])
+        hollow = pick(["********", "xxxxxxxxxxxx", "changeme", "${SECRET_VALUE}", "<your-token-here>", "YOUR_API_KEY", "example_password", "placeholder", "REDACTED", "os.environ.get(NAME)", "process.env.TOKEN", "getpass.getpass()", "test1234", "password123", "undefined", "required", "optional", "{{ vault_token }}", "AAAAAAAAAAAAAAA1", "123456789012", "000000000000"])
+        line = pick(
+            [
+                f"{name} = {q}{hollow}{q}",
+                f"{name}: {hollow}",
+                f"{name}={camel()}()",
+                f"{name}: {word()} {prose()}",
+                f"primary_key={word()}_{word()}_id",
+                f"keyboard: {word()}",
+                f"the key is {pick(['important', 'hidden', 'always', 'simple', 'patience'])} {prose()}",
+                f"token = {camel()}",
+                f"commit {some(hexes, 40)}",
+                f"sha256:{some(hexes, 64)}",
+                f'integrity="sha512-{some(alnum + "+/", 86)}=="',
+                f"md5 {some(hexes, 32)} {word()}.tar.gz",
+                f"id={uuid()}",
+                f"{prose()} {uuid()}",
+                f"order {some(string.digits, 16)}",
+                f"card no. {some(string.digits, 16)} {prose()}",
+                f"{prose()} {some(string.digits, pick([13, 14, 15, 16, 19]))} {prose()}",
+                f"phone +{some(string.digits, rng.randint(11, 14))}",
+                f"version {rng.randint(0, 9)}-{rng.randint(0, 20)}-rc{rng.randint(1, 9)}-{some(string.digits, 8)}",
+                f"href=/{'/'.join(word() for _ in range(rng.randint(2, 5)))}/{rng.randint(1, 9999)}",
+                f"https://{word()}.org/{word()}/{word()}-{word()}-{rng.randint(1, 99999)}",
+                f"{camel()}{rng.randint(0, 99)}",
+                f"{prose()} {camel()} {prose()}",
+                f"IMG_{rng.randint(1990, 2030)}{some(string.digits, 4)}_{some(string.digits, 6)}",
+                f"{rng.randint(1970, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{some(string.digits, 6)}",
+                f"src=data:image/png;base64,{some(alnum + '+/', rng.randint(40, 90))}",
+                f"{word()}_{word()}_{word()}_{rng.randint(1, 99)}",
+                f"checksum {some(hexes, 40)}",
+                f"ISBN 978-{some(string.digits, 10)}",
+                f"http://{word()}:{rng.randint(100000, 999999)}/{word()}",
+            ]
+        )
+        out.append((f"{prose()} {line}" if rng.random() < 0.3 else line, pick([code_path, low_path])(), None))
     return out
 
 
@@ -172,36 +282,55 @@ class Forest:
         return F.expr("(" + " + ".join(map(sql, self.trees)) + f") / {len(self.trees)}D")
 
 
-def train(findings: DataFrame) -> Forest:
-    """A forest for labelled findings: candidate, prefix, before, after, path and label (a bounded table)."""
-    rows = sorted(tuple(r) for r in features(findings.where("candidate IS NOT NULL AND label IS NOT NULL")).select(*FEATURES, F.col("label").cast("double")).collect())
-    data = np.array(rows, float).reshape(len(rows), len(FEATURES) + 1)
-    return Forest(data[:, :-1], data[:, -1])
+def train(findings: DataFrame, words: list[str]) -> Scanner:
+    """A scanner from labelled lines: text, path and secret (null: there is none); a bounded table.  ``words``: the dictionary."""
+    lines = findings.where("text IS NOT NULL").withColumn("doc_id", F.struct("text", "path", "secret"))
+    found = candidates(lines, path="path").select("*", F.coalesce(F.col("candidate") == F.col("doc_id.secret"), F.lit(False)).cast("int").alias("label"))
+    rows = found.select("candidate", "prefix", "before", "after", "path", "label").collect()
+    scanner = Scanner(words)
+    for name, text in (("near", lambda r: f"{r['before']} {r['prefix']}"), ("after", lambda r: r["after"]), ("path", lambda r: r["path"])):
+        scanner.neighbours[f"{name}_for"], scanner.neighbours[f"{name}_against"] = _sides(rows, text)
+    data = sorted(tuple(r) for r in scanner.features(found).select(*FEATURES, F.col("label").cast("double")).collect())
+    data = np.array(data, float).reshape(len(data), len(FEATURES) + 1)
+    scanner.forest = Forest(data[:, :-1], data[:, -1])
+    return scanner
 
 
 def candidates(docs: DataFrame, text: str = "text", path: str = "source") -> DataFrame:
     """doc_id, word (its number), nth (candidate of the word), candidate, prefix, before, after, path."""
-    some = docs.where(F.col(text).rlike(CANDIDATE)).select("doc_id", F.col(path).cast("string").alias("path"), F.split(text, SPACES).alias("w"))
+    t = F.col(text)
+    some = docs.where(t.rlike(CANDIDATE) | t.rlike(_ANYWHERE) | t.contains(_PEM)).select("doc_id", F.col(path).cast("string").alias("path"), F.split(t, SPACES).alias("w"))
     n = F.size("w")
-    blank = F.array(F.lit(""))
     back = lambda k: F.concat(F.array_repeat(F.lit(""), k), F.slice("w", 1, F.greatest(n - k, F.lit(0))))
-    ahead = F.concat(F.slice("w", 2, F.greatest(n - 1, F.lit(0))), blank)
-    zipped = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("i"), F.col("w").alias("w"), back(1).alias("p1"), back(2).alias("p2"), ahead.alias("n1"))
-    hits = F.filter(zipped, lambda x: x["w"].rlike(CANDIDATE))
-    words = some.select("doc_id", "path", F.explode(hits).alias("x")).select("doc_id", "path", F.col("x.i").alias("word"), F.col("x.w").alias("w"), F.concat_ws(" ", "x.p2", "x.p1").alias("before"), F.col("x.n1").alias("after"))
-    each = words.select("*", F.posexplode(F.regexp_extract_all("w", F.lit(CANDIDATE), 0)).alias("nth", "candidate"))
-    return each.select("doc_id", F.col("word").cast("long").alias("word"), F.col("nth").cast("long").alias("nth"), "candidate", F.expr("substring_index(w, candidate, 1)").alias("prefix"), "before", "after", "path")
-
-
-def scan(docs: DataFrame, forest: Forest, text: str = "text", path: str = "source") -> DataFrame:
+    ahead = lambda k: F.concat(F.slice("w", k + 1, F.greatest(n - k, F.lit(0))), F.array_repeat(F.lit(""), k))
+    zipped = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("i"), F.col("w").alias("w"), back(1).alias("p1"), back(2).alias("p2"), back(3).alias("p3"), ahead(1).alias("n1"), ahead(2).alias("n2"), ahead(3).alias("n3"))
+    given = lambda x: x["p1"].rlike(_LEADS) & F.concat_ws(" ", x["p2"], x["p1"]).rlike(_GIVEN) & x["w"].rlike(rf"^{_OPEN}{_BODY}")
+    hits = F.filter(zipped, lambda x: x["w"].rlike(CANDIDATE) | (x["w"] == _PEM) | given(x))
+    words = some.select("doc_id", "path", F.explode(hits).alias("x"))
+    x = F.col("x")
+    words = words.select("doc_id", "path", F.col("x.i").alias("word"), F.col("x.w").alias("w"), F.btrim(F.concat_ws(" ", "x.p3", "x.p2", "x.p1")).alias("before"), F.btrim(F.concat_ws(" ", "x.n1", "x.n2", "x.n3")).alias("after"), given(x).alias("given"))
+    # each match with what stands before it: the pieces between matches, and the matches so far
+    matches, gaps = F.regexp_extract_all("w", F.lit(CANDIDATE), 0), F.split("w", CANDIDATE, -1)
+    upto = lambda i: F.array_join(F.flatten(F.zip_with(F.slice(gaps, 1, i + 1), F.concat(F.slice(matches, 1, i), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    inside = F.transform(matches, lambda m, i: F.struct(F.regexp_replace(m, f"^{_BEFORE}", "").alias("candidate"), F.concat(upto(i), F.regexp_extract(m, f"^{_BEFORE}", 0)).alias("prefix")))
+    opening = F.regexp_extract("w", f"^{_OPEN}", 0)
+    whole = F.array(F.struct(F.regexp_extract("w", rf"^{_OPEN}({_BODY})", 1).alias("candidate"), opening.alias("prefix")))
+    head = F.array(F.struct(F.col("w").alias("candidate"), F.lit("").alias("prefix")))
+    found = F.when(F.col("w") == _PEM, head).when(F.col("given"), whole).otherwise(inside)
+    each = words.select("*", F.posexplode(found).alias("nth", "c"))
+    return each.select("doc_id", F.col("word").cast("long").alias("word"), F.col("nth").cast("long").alias("nth"), "c.candidate", "c.prefix", "before", "after", "path")
+
+
+def scan(docs: DataFrame, scanner: Scanner, text: str = "text", path: str = "source") -> DataFrame:
     """Every candidate with its score and whether the forest takes it for a secret."""
-    scored = features(candidates(docs, text, path)).withColumn("score", forest.expression())
+    scored = scanner.features(candidates(docs, text, path)).withColumn("score", scanner.forest.expression())
     return scored.select("doc_id", "word", "nth", "candidate", "score", (F.col("score") >= CUTOFF).alias("is_secret"))
 
 
 def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings = spark.createDataFrame(seed_findings(), "candidate string, prefix string, before string, after string, path string, label int")
-    return scan(table(spark, sf_dir, "documents"), train(findings))
+    docs = table(spark, sf_dir, "documents")
+    findings = spark.createDataFrame(seed_findings(), "text string, path string, secret string")
+    return scan(docs, train(findings, dictionary(docs)))
 
 
 QUERIES = {"op4_secret_forest": op4_secret_forest}
