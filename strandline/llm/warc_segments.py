@@ -6,9 +6,10 @@ as revisits of it.  A block longer than ``SEGMENT_BYTES`` is cut: the response h
 continuation records carry the origin's id, their number and, in the last, the total length.  Archives
 are gzip files of at most ``FILE_RECORDS`` records, so a file has a bounded size however long pages are.
 
-Reading.  Archives are parsed file by file.  Segmented records are grouped by origin id, ordered by
+Reading.  Archives are parsed file by file and record by record as they are decompressed.  Segmented records are grouped by origin id, ordered by
 number and checked: numbers without gaps, the total length, and the payload's digest.  Then the
-chunked framing is decoded.  A revisit takes its payload from the response that it refers to.
+chunked framing is decoded.  A revisit takes its payload from the response that it refers to; one whose
+response is in none of the archives is an error.
 
 Rows: a null html is an empty payload.  A null page_id is left out of the record and comes back as
 null; it never precedes another as response.  Of equal pages with equal ids the one with the least
@@ -20,8 +21,10 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +34,7 @@ from strandline.llm.common import Stored, shared_dir, table
 
 REVISIT_BYTES = 100
 SEGMENT_BYTES, CHUNK_BYTES = 32 * 1024, 4096
-FILE_RECORDS = 2048
+FILE_RECORDS, BATCH_BYTES = 2048, 1 << 24
 DATE = "2020-01-01T00:00:00Z"
 _END = "\r\n"
 _HEAD = f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Transfer-Encoding: chunked{_END}{_END}"
@@ -104,22 +107,19 @@ def write_archives(pages: DataFrame, path: str) -> None:
     rows.select(F.concat(head, part.cast("string")).alias("value")).write.option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
+def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names) and block of each record of an archive, one record at a time."""
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where {first[:40]!r} stands")
         fields = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
+        while line := stream.readline().rstrip(b"\r\n"):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.lower()] = value.strip()
-        start, stop = end + 4, end + 4 + int(fields["content-length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
+        block = stream.read(int(fields["content-length"]))
+        if len(block) < int(fields["content-length"]) or stream.read(4) != b"\r\n\r\n":
             raise ValueError(f"{fields.get('warc-record-id')}: the block doesn't end where its length says")
-        yield fields, data[start:stop]
-        at = stop + 4
+        yield fields, block
 
 
 def dechunk(body: bytes) -> bytes:
@@ -160,17 +160,22 @@ _PARSED = "page_id long, kind string, id string, origin string, number int, tota
 
 def _parse_files(with_payload: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _PARSED.split(", ")]
+        names, kinds = [c.split()[0] for c in _PARSED.split(", ")], {"page_id": "Int64", "number": "Int32", "total": "Int64", "n_bytes": "Int64"}
         for pdf in batches:
             for content in pdf["content"]:
-                rows = []
-                for f, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
+                rows, size = [], 0
+                stream = io.BytesIO(content)
+                for f, block in parse(gzip.GzipFile(fileobj=stream) if content[:2] == b"\x1f\x8b" else stream):
                     number = int(f["warc-segment-number"]) if "warc-segment-number" in f else None
                     total = int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None
                     page, kind, name = int(f["x-page-id"]) if "x-page-id" in f else None, f["warc-type"], f["warc-record-id"]
                     payload = payload_of(block, f.get("warc-payload-digest"), name) if kind == "response" and number is None else None
+                    size += len(block)
                     rows.append((page, kind, name, f.get("warc-segment-origin-id", name), number, total, f.get("warc-payload-digest"), f.get("warc-refers-to"), None if payload is None else len(payload), payload if with_payload else None, block if number is not None else None))
-                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "number": "Int32", "total": "Int64", "n_bytes": "Int64"})
+                    if size > BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=names).astype(kinds)
+                        rows, size = [], 0
+                yield pd.DataFrame(rows, columns=names).astype(kinds)
 
     return run
 
@@ -199,6 +204,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     responses = whole.unionByName(joined)
     revisits = parsed.where("kind = 'revisit'").select("page_id", "refers")
     seen = revisits.join(responses.select(F.col("page_id").alias("refers_to"), "id", "digest", "n_bytes", "payload"), F.col("refers") == F.col("id"), "left")
+    lost = F.raise_error(F.concat(F.lit("a revisit of a record that is not there: "), "refers"))
+    seen = seen.withColumn("n_bytes", F.when(F.col("id").isNull(), lost.cast("long")).otherwise(F.col("n_bytes")))
     both = responses.select("page_id", "n_bytes", "digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "payload").unionByName(seen.select("page_id", "n_bytes", "digest", F.lit("revisit").alias("record_type"), "refers_to", "payload"))
     out = both.select("page_id", F.col("n_bytes").alias("payload_bytes"), F.substring("digest", 8, 64).alias("payload_digest"), "record_type", "refers_to", "payload")
     return out if with_payload else out.drop("payload")

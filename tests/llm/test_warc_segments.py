@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import io
 from pathlib import Path
 
 import pytest
@@ -42,7 +43,7 @@ def test_empty(spark, tmp_path):
 def test_archives_are_segmented(spark, tmp_path):
     w.write_archives(pages(spark, [(1, "u", "q" * (3 * w.SEGMENT_BYTES))]), f"file://{tmp_path}/a")
     data = b"".join(gzip.decompress(f.read_bytes()) for f in Path(f"{tmp_path}/a").glob("*.gz"))
-    found = list(w.parse(data))
+    found = list(w.parse(io.BytesIO(data)))
     assert [f["warc-type"] for f, _ in found] == ["response", "continuation", "continuation", "continuation"]
     assert [int(f["warc-segment-number"]) for f, _ in found] == [1, 2, 3, 4]
     assert int(found[-1][0]["warc-segment-total-length"]) == sum(len(b) for _, b in found)
@@ -62,6 +63,17 @@ def test_damage_is_named():
         with pytest.raises(ValueError, match="segments"):
             w.assemble(bad, "r")
     with pytest.raises(ValueError, match="no WARC record"):
-        list(w.parse(b"junk\r\n\r\n"))
+        list(w.parse(io.BytesIO(b"junk\r\n\r\n")))
     with pytest.raises(ValueError, match="length"):
-        list(w.parse(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n"))
+        list(w.parse(io.BytesIO(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n")))
+
+
+def test_a_revisit_without_its_response_is_an_error(spark, tmp_path):
+    w.write_archives(pages(spark, [(1, "u", "z" * 200), (2, "u", "z" * 200)]), f"file://{tmp_path}/a")
+    data = b"".join(gzip.decompress(f.read_bytes()) for f in Path(f"{tmp_path}/a").glob("*.gz"))
+    records = [x for x in data.split(b"WARC/1.1\r\n") if b"WARC-Type: revisit" in x]
+    (tmp_path / "b").mkdir()
+    # one member for a record, as others write them
+    (tmp_path / "b" / "x.warc.gz").write_bytes(b"".join(gzip.compress(b"WARC/1.1\r\n" + x) for x in records))
+    with pytest.raises(Exception, match="a record that is not there"):
+        w.read_archives(spark, f"file://{tmp_path}/b").collect()
