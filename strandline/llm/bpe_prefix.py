@@ -7,7 +7,8 @@ order, how both tokens grow towards their common border.  Back-pointers from the
 ids that merging by rank would give, in time linear in the word for a fixed vocabulary.
 
 The vocabulary is a ``tokenizers`` JSON file of a BPE model with a word-end suffix, whose path is a
-parameter; it is read on the driver and travels with the function.
+parameter; it is read on the driver and travels with the function.  Its normaliser, pre-tokenizer and model have
+to be of the kind that is implemented here (``KIND``); any other is refused.
 
 Rows: a null or empty text has no ids and decodes to the empty text.  Repeated rows are repeated.
 Extra columns pass through; one that has an output's name is replaced.
@@ -37,6 +38,21 @@ _NEVER = 1 << 40
 #: The code points with the White_Space property.
 _BREAKS = re.compile("[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD_ASCII = re.compile("[\x1c-\x1f]")
+#: What a file has to say: NFC, white space as one space, lower case; words by a pattern, as bytes; no other options.
+KIND = {
+    "normalizer": [("NFC",), ("Replace", "\\s+", " "), ("Lowercase",)],
+    "pre_tokenizer": [("Split", "Removed", True), ("ByteLevel", False, False)],
+    "model": {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+def kind_of(spec: dict) -> dict:
+    """What KIND says of a vocabulary file."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    normal = [(n["type"], *((n["pattern"].get("Regex"), n["content"]) if n["type"] == "Replace" else ())) for n in steps]
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = [(p["type"], *((p["behavior"], p["invert"]) if p["type"] == "Split" else (p.get("add_prefix_space"), p.get("use_regex", True)))) for p in splits]
+    return {"normalizer": normal, "pre_tokenizer": split, "model": {k: spec["model"].get(k, v) for k, v in KIND["model"].items()}}
 
 
 def byte_letters() -> list[str]:
@@ -63,6 +79,8 @@ class PrefixCoder:
     def _load(self, unreachable: frozenset[int] | None = None) -> None:
         spec = json.loads(self.content)
         model = spec["model"]
+        if (found := kind_of(spec)) != KIND or not model.get("end_of_word_suffix") or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError(f"a vocabulary of another kind: {found}")
         suffix = model["end_of_word_suffix"]
         self.letters = byte_letters()
         self.names: dict[int, str] = {i: t for t, i in model["vocab"].items()}

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -68,3 +69,11 @@ def test_tables(spark, coder, library, odd_docs):
             got = by[r["doc_id"]]
             assert (got["n_tokens"], got["ids_sha256"], got["decoded_sha256"]) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert b.digests(odd_docs, coder).count() == odd_docs.count() and b.digests(odd_docs.limit(0), coder).isEmpty()
+
+
+def test_vocabularies_of_another_kind_are_refused():
+    spec = json.loads(open(b.default_path(), encoding="utf-8").read())
+    changes = [("normalizer", None), ("normalizer", {"type": "Sequence", "normalizers": [{"type": "NFC"}]}), ("model", spec["model"] | {"byte_fallback": True}), ("model", spec["model"] | {"end_of_word_suffix": None})]
+    for key, value in changes:
+        with pytest.raises(ValueError, match="another kind"):
+            b.PrefixCoder(json.dumps(spec | {key: value}))
