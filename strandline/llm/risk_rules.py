@@ -1,20 +1,22 @@
 """Quality rules whose cutoffs are chosen under a risk bound.
 
-Each rule compares one ratio of a document with a cutoff of its stratum (the language).  Labelled
-documents are the holdout: nothing else is fitted to them.  For a stratum and rule the cutoffs of a
-fixed grid are tested from the loosest on; a cutoff is certified if the exact binomial (Clopper-Pearson)
-upper bound of its false rejections among good documents is at most ``RISK`` / number of rules, and
-testing stops at the first that isn't (a fixed sequence needs no correction within itself).  Over
-strata and rules the error ``ERROR`` is divided (Bonferroni).  So with probability 1 - ERROR the rules
-together reject at most a share RISK of the good documents in every stratum.  Of the certified cutoffs
-the one that trades rejected bad documents best against rejected good ones is used, or none.
-
-A stratum with too few labelled good documents for any certificate gets no cutoffs, and keeps
-whatever the base limits keep.
+Each rule compares one ratio of a document with a cutoff of its stratum (the language); a document goes if any
+rule says so.  Labelled documents are dealt in two by a hash of their id.  The first part proposes for each
+stratum a path of joint settings, each stricter than the one before: the cutoffs of a fixed grid, in
+the order of the bad documents that they reject for each good one.  The second part, which the path knows
+nothing of, certifies it: settings are tested from the loosest on, and one is certified if the exact binomial
+(Clopper-Pearson) upper bound of what all rules together reject of its good documents is at most ``RISK``;
+testing stops at the first that isn't (a fixed sequence needs no correction within itself).  Over the strata that
+are tested the error ``ERROR`` is divided (Bonferroni).  So with probability 1 - ERROR the rules reject at
+most a share RISK of the good documents in every stratum.  The strictest certified setting is used, or none.
+
+A stratum with too few labelled good documents for any certificate (``fewest_good``) isn't tested, gets no
+cutoffs, and keeps whatever the base limits keep.
 
 Rows: a null or empty text has no words and fails the base.  A null language is a stratum of its own.
 A null doc_id has no label.  Of several labels of a document the smallest counts.  Repeated rows are
-repeated.  All of it is DataFrame operations; the driver gets counts per stratum, rule and grid cell.
+repeated.  All of it is DataFrame operations; the driver gets counts per stratum, rule
+and grid cell, and per stratum and setting.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACES, Stored, table
+from strandline.llm.common import SPACES, Stored, fold_of, settled, table
 
 RISK, ERROR = 0.03, 0.05
 WINDOW = 8
-#: Rejected good documents weigh so much more than bad ones when a certified cutoff is picked.
+#: One document of so many labelled ones proposes settings, the others certify them.
+PROPOSING = 3
+#: Rejected good documents weigh so much more than bad ones when settings are proposed.
 WEIGHT = 20.0
 #: Cutoffs: GRID_TOP * 2 ** (-k / 4), from k = 0 on.
 GRID_TOP, GRID_STEPS = 16.0, 48
@@ -109,50 +113,84 @@ def _tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(map(one, range(k + 1))))
 
 
-def fewest_good(risk: float = RISK, error: float = ERROR) -> int:
-    """Good documents that a stratum needs before anything can be certified, for one stratum."""
-    return math.ceil(math.log(error / len(RULES)) / math.log1p(-risk / len(RULES)))
+def fewest_good(strata: int = 1, risk: float = RISK, error: float = ERROR) -> int:
+    """Good documents that a stratum needs, of ``strata`` that are tested, before anything can be certified."""
+    return math.ceil(math.log(error / strata) / math.log1p(-risk))
 
 
-def choose(cells: dict[tuple[str, str], dict[int, tuple[int, int]]], good: dict[str, int], bad: dict[str, int], risk: float = RISK, error: float = ERROR) -> dict[tuple[str, str], float]:
-    """Cutoff of each (stratum, rule) that gets one.
+def tested(good: dict[str, int], risk: float = RISK, error: float = ERROR) -> list[str]:
+    """The strata with enough good documents for as many as are tested; their outcomes play no part."""
+    order = sorted(good, key=lambda s: (-good[s], s))
+    return max((order[:k] for k in range(len(order) + 1) if all(good[s] >= fewest_good(k, risk, error) for s in order[:k])), key=len)
 
-    cells: (stratum, rule) -> grid cell k -> (good, bad) documents that cutoff k rejects and k - 1 doesn't.
+
+def path(cells: dict[str, dict[int, tuple[int, int]]], good: int, bad: int, weight: float = WEIGHT) -> list[tuple[str, int]]:
+    """Steps (rule, k) from the loosest setting on: each moves one rule's cutoff to cell k of the grid.
+
+    cells: rule -> cell -> (good, bad) documents that cutoff k rejects and k - 1 doesn't.  Of each rule the steps on the
+    concave hull of (good, bad) rejected are taken, merged by slope, down to where a bad document isn't worth its price.
     """
-    out = {}
-    for key, by_cell in cells.items():
-        n, m = good[key[0]], bad.get(key[0], 0)
+    steps = []
+    for rule in RULES:
+        points = [(0.0, 0.0, -1)]
         g = b = 0
-        best, value = None, 0.0
         for k in range(GRID_STEPS):
-            g, b = g + by_cell.get(k, (0, 0))[0], b + by_cell.get(k, (0, 0))[1]
-            if _tail(g, n, risk / len(RULES)) > error / (len(good) * len(RULES)):
-                break
-            if m and (gain := b / m - WEIGHT * g / n) > value:
-                best, value = GRID_TOP * 2 ** (-k / 4), gain
-        if best is not None:
-            out[key] = best
-    return out
+            more = cells.get(rule, {}).get(k, (0, 0))
+            if more == (0, 0):
+                continue
+            g, b = g + more[0], b + more[1]
+            now = (g / max(1, good), b / max(1, bad), k)
+            slope = lambda x, y: (y[1] - x[1]) / max(y[0] - x[0], 1e-12)
+            while len(points) > 1 and slope(points[-2], points[-1]) <= slope(points[-1], now):
+                points.pop()
+            points.append(now)
+        steps += [(slope(x, y), rule, y[2]) for x, y in zip(points, points[1:]) if slope(x, y) > weight]
+    return [(rule, k) for _, rule, k in sorted(steps, key=lambda s: (-s[0], s[1], s[2]))]
+
+
+def certified(rejected: dict[int, int], good: int, steps: int, strata: int, risk: float = RISK, error: float = ERROR) -> int:
+    """How many steps of a path are certified; rejected: step -> good documents that it rejects and those before don't."""
+    g = 0
+    for k in range(steps):
+        g += rejected.get(k, 0)
+        if _tail(g, good, risk) > error / strata:
+            return k
+    return steps
 
 
 def calibrate(found: DataFrame, labels: DataFrame, stratum: str = "lang") -> dict[tuple[str | None, str], float]:
-    """Cutoffs from labelled documents; ``found``: doc_id, stratum and what ``features`` gives."""
+    """Cutoff of each (stratum, rule) that gets one, from labelled documents; ``found``: doc_id, stratum and what ``features`` gives."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__q"))
-    own = found.where(~base_failed()).join(marks, F.col("doc_id") == F.col("__id")).select(F.coalesce(F.concat(F.lit("="), stratum), F.lit("")).alias("s"), F.col("__q").alias("q"), *ratios())
-    own = Stored(own, "holdout").df
-    sums = own.groupBy("s").agg(F.count_if(F.col("q") == 1).alias("good"), F.count_if(F.col("q") != 1).alias("bad")).where(F.col("good") >= fewest_good())
-    totals = sums.collect()
-    if not totals:
-        return {}
     # the first cutoff of the grid that a ratio exceeds: ratio > TOP * 2 ** (-k / 4)
-    cell = lambda r: F.when(F.col(r) > 0, F.greatest(F.lit(0), (F.floor(4 * F.log2(F.lit(GRID_TOP) / F.col(r))) + 1).cast("int")))
-    long = own.join(F.broadcast(sums.select("s")), "s").select("s", "q", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), cell(r).alias("k")) for r in RULES])).alias("x"))
-    counts = long.where(f"x.k < {GRID_STEPS}").groupBy("s", "x.rule", "x.k").agg(F.count_if(F.col("q") == 1).alias("good"), F.count_if(F.col("q") != 1).alias("bad"))
-    cells: dict[tuple[str, str], dict[int, tuple[int, int]]] = {(t["s"], r): {} for t in totals for r in RULES}
-    for row in counts.collect():
-        cells[row["s"], row["rule"]][row["k"]] = row["good"], row["bad"]
-    chosen = choose(cells, {t["s"]: t["good"] for t in totals}, {t["s"]: t["bad"] for t in totals})
-    return {(s[1:] if s else None, r): c for (s, r), c in chosen.items()}
+    cells = [F.when(r > 0, F.greatest(F.lit(0), (F.floor(4 * F.log2(F.lit(GRID_TOP) / r)) + 1).cast("int"))).alias(name) for name, r in zip(RULES, ratios())]
+    own = found.where(~base_failed()).join(marks, F.col("doc_id") == F.col("__id"))
+    own = own.select(F.coalesce(F.concat(F.lit("="), stratum), F.lit("")).alias("s"), (F.col("__q") == 1).alias("q"), (fold_of("doc_id", PROPOSING) == 0).alias("proposes"), *cells)
+    stored = Stored(own, "holdout")
+    totals: dict[tuple[str, bool, bool], int] = {(r["s"], r["proposes"], r["q"]): r["count"] for r in stored.df.groupBy("s", "proposes", "q").count().collect()}
+    strata = tested({s: n for (s, proposes, q), n in totals.items() if q and not proposes})
+    if not strata:
+        return {}
+    long = stored.df.where(F.col("proposes") & F.col("s").isin(strata)).select("s", "q", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("k")) for r in RULES])).alias("x"))
+    proposed: dict[str, dict[str, dict[int, tuple[int, int]]]] = {s: {r: {} for r in RULES} for s in strata}
+    for row in long.where(f"x.k < {GRID_STEPS}").groupBy("s", "x.rule", "x.k").agg(F.count_if("q").alias("good"), F.count_if(~F.col("q")).alias("bad")).collect():
+        proposed[row["s"]][row["rule"]][row["k"]] = row["good"], row["bad"]
+    paths = {s: path(proposed[s], totals.get((s, True, True), 0), totals.get((s, True, False), 0)) for s in strata}
+    # the first step that rejects a document: for each rule the first whose cutoff reaches the document's cell
+    firsts = []
+    for s, steps in paths.items():
+        reached = [[next((n for n, (rule, k) in enumerate(steps) if rule == r and k >= cell), None) for cell in range(GRID_STEPS)] for r in RULES]
+        firsts.append((s, *reached))
+    steps_of = found.sparkSession.createDataFrame(firsts, "s string, " + ", ".join(f"__{r} array<int>" for r in RULES))
+    step = F.least(*[F.get(F.col(f"__{r}"), F.col(r)) for r in RULES])
+    rejected: dict[str, dict[int, int]] = {s: {} for s in strata}
+    for row in stored.df.where(F.col("q") & ~F.col("proposes")).join(steps_of, "s").select("s", step.alias("step")).where("step IS NOT NULL").groupBy("s", "step").count().collect():
+        rejected[row["s"]][row["step"]] = row["count"]
+    stored.drop()
+    out = {}
+    for s, steps in paths.items():
+        for rule, k in steps[: certified(rejected[s], totals[s, False, True], len(steps), len(strata))]:
+            out[s[1:] if s else None, rule] = GRID_TOP * 2 ** (-k / 4)
+    return out
 
 
 def verdicts(found: DataFrame, cutoffs: dict[tuple[str | None, str], float], stratum: str = "lang") -> DataFrame:
@@ -167,14 +205,14 @@ def verdicts(found: DataFrame, cutoffs: dict[tuple[str | None, str], float], str
     hit = beyond[0]
     for x in beyond[1:]:
         hit = hit | x
-    joined = found.join(F.broadcast(limits), F.coalesce(F.concat(F.lit("="), stratum), F.lit("")) == F.col("__s"), "left")
+    joined = found.join(limits, F.coalesce(F.concat(F.lit("="), stratum), F.lit("")) == F.col("__s"), "left")
     return joined.select(*columns, base_failed().alias("base_failed"), (~base_failed() & ~hit).alias("kept"))
 
 
 def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Stored(features(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), "features").df
-    cutoffs = calibrate(found, table(spark, sf_dir, "labels"))
-    return verdicts(found, cutoffs).select("doc_id", *COUNTS, "base_failed", "kept")
+    stored = Stored(features(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), "features")
+    cutoffs = calibrate(stored.df, table(spark, sf_dir, "labels"))
+    return settled(verdicts(stored.df, cutoffs).select("doc_id", *COUNTS, "base_failed", "kept"), "verdicts", stored)
 
 
 QUERIES = {"op10_risk_rules": op10_risk_rules}

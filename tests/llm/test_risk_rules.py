@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import zlib
 
 import pytest
 
@@ -32,17 +34,75 @@ def test_features_against_brute_force(spark, odd_docs, prose):
 def test_exact_bound():
     for k, n, p in ((0, 50, 0.02), (3, 200, 0.01), (10, 100, 0.3)):
         assert math.isclose(q._tail(k, n, p), sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel_tol=1e-9)
-    n = q.fewest_good()
-    assert q._tail(0, n, q.RISK / len(q.RULES)) <= q.ERROR / len(q.RULES) < q._tail(0, n - 1, q.RISK / len(q.RULES))
-
-
-def test_choice_respects_the_risk():
-    good, bad = {"a": 3000, "b": 50}, {"a": 300, "b": 300}
-    cells = {("a", "symbols"): {4: (0, 200), 8: (1, 50), 12: (400, 50)}, ("b", "symbols"): {4: (0, 300)}}
-    got = q.choose(cells, good, bad)
-    assert got == {("a", "symbols"): q.GRID_TOP / 4} or got == {("a", "symbols"): q.GRID_TOP / 2}
-    below = sum(g for k, (g, _) in cells["a", "symbols"].items() if q.GRID_TOP * 2 ** (-k / 4) >= got["a", "symbols"])
-    assert below / 3000 <= q.RISK / len(q.RULES)
+    for strata in (1, 4):
+        n = q.fewest_good(strata)
+        assert q._tail(0, n, q.RISK) <= q.ERROR / strata < q._tail(0, n - 1, q.RISK)
+
+
+def test_strata_that_are_tested():
+    assert q.tested({"a": q.fewest_good(1), "b": q.fewest_good(1)}) == ["a"]
+    assert q.tested({"a": q.fewest_good(2), "b": q.fewest_good(2), "c": 3}) == ["a", "b"] and q.tested({}) == [] and q.tested({"a": 5}) == []
+
+
+def test_path_takes_what_rejects_most_bad_for_a_good_one_first():
+    cells = {"symbols": {4: (0, 200), 8: (1, 50), 12: (400, 50)}, "repeats": {3: (2, 30), 6: (0, 60)}}
+    steps = q.path(cells, 1000, 500)
+    assert steps == [("symbols", 4), ("symbols", 8), ("repeats", 6)]
+    assert q.path({}, 10, 10) == [] and q.path({"symbols": {1: (10, 0)}}, 10, 0) == []
+
+
+def test_certificate_covers_the_risk():
+    """Over simulated holdouts, a setting beyond the risk is certified no more often than the error allows."""
+    rng = random.Random(1)
+    n, strata, trials = 600, 2, 1500
+    shares = [0.002, 0.01, 0.02, q.RISK + 0.002, 0.2]  # of good documents, that each step rejects
+    wrong = 0
+    for _ in range(trials):
+        rejected, last = {}, 0.0
+        left = n
+        for k, share in enumerate(shares):
+            rejected[k] = sum(rng.random() < (share - last) / (1 - last) for _ in range(left))
+            left -= rejected[k]
+            last = share
+        wrong += q.certified(rejected, n, len(shares), strata) > 3
+    assert wrong / trials <= q.ERROR / strata + 3 * math.sqrt(q.ERROR / strata / trials)
+    assert q.certified({}, n, 5, strata) == 5 and q.certified({0: n}, n, 5, strata) == 0
+
+
+def test_calibration_against_plain_counts(spark, many):
+    """Steps and certificates by counting documents one by one."""
+    found = q.features(many.drop("quality")).withColumn("f", q.base_failed())
+    rows = found.select("doc_id", "lang", "f", *q.ratios()).join(many.select("doc_id", "quality"), "doc_id").where("NOT f").collect()
+    cutoffs = q.calibrate(q.features(many.drop("quality")), many.select("doc_id", "quality"))
+    proposes = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % q.PROPOSING == 0
+    good = {}
+    for r in rows:
+        if r["quality"] == 1 and not proposes(r):
+            good[r["lang"]] = good.get(r["lang"], 0) + 1
+    strata = q.tested({"" if s is None else f"={s}": n for s, n in good.items()})
+    for lang in {s for s, _ in cutoffs}:
+        assert ("" if lang is None else f"={lang}") in strata
+        own = [r for r in rows if r["lang"] == lang and r["quality"] == 1 and not proposes(r)]
+        gone = sum(any(r[rule] > c for (s, rule), c in cutoffs.items() if s == lang) for r in own)
+        assert q._tail(gone, len(own), q.RISK) <= q.ERROR / len(strata)
+    cells = {}
+    for r in rows:
+        if r["lang"] == "en" and proposes(r):
+            for rule in q.RULES:
+                hit = [k for k in range(q.GRID_STEPS) if r[rule] > q.GRID_TOP * 2 ** (-k / 4)]
+                if hit:
+                    pair = cells.setdefault(rule, {}).get(hit[0], (0, 0))
+                    cells[rule][hit[0]] = (pair[0] + (r["quality"] == 1), pair[1] + (r["quality"] != 1))
+    both = [sum(r["lang"] == "en" and proposes(r) and (r["quality"] == 1) == g for r in rows) for g in (True, False)]
+    steps, last = q.path(cells, *both), {}
+    rejected, seen = {}, set()
+    own = [r for r in rows if r["lang"] == "en" and r["quality"] == 1 and not proposes(r)]
+    for n, (rule, k) in enumerate(steps):
+        new = {r["doc_id"] for r in own if r[rule] > q.GRID_TOP * 2 ** (-k / 4)} - seen
+        rejected[n], seen = len(new), seen | new
+    for rule, k in steps[: q.certified(rejected, len(own), len(steps), len(strata))]:
+        last["en", rule] = q.GRID_TOP * 2 ** (-k / 4)
+    assert last and last == {key: c for key, c in cutoffs.items() if key[0] == "en"}
 
 
 @pytest.fixture(scope="module")
