@@ -19,11 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import fold_of, table
+from strandline.llm.common import Stored, fold_of, table
 
 PASSAGE_WORDS = 64
-#: Bound of the labelled sample that is trained on, in documents, and of the passages of each.
-TRAIN_DOCS, TRAIN_PASSAGES = 4000, 512
+#: Bound of the labelled sample that is trained on, in documents, and in passages of them all.
+TRAIN_DOCS, TRAIN_PASSAGES = 4000, 200_000
 #: Bytes of text that are looked at together; longer texts are cut between words.
 CHUNK_BYTES = 1 << 18
 CUTOFF = 0.3
@@ -154,7 +154,7 @@ class GatedAttention:
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 1.0
             return self
-        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+        self.mean, self.scale = x.mean(0, dtype=np.float64), np.maximum(x.std(0, dtype=np.float64), 1e-3)
         first = np.searchsorted(bag, np.arange(len(y) + 1))
         rng = np.random.default_rng(seed)
         m1, m2 = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
@@ -210,11 +210,14 @@ class GatedAttention:
         return np.round(1 / (1 + np.exp(-((z / weight[:, None]) @ self.p["c"] + self.p["b"]))), 9)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_docs: int = TRAIN_DOCS, fold: Callable = lambda c: fold_of(c, 5) != 0) -> GatedAttention:
-    """Fit on at most ``max_docs`` labelled documents, those with the smallest hash of their id.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_docs: int = TRAIN_DOCS, max_passages: int = TRAIN_PASSAGES, fold: Callable = lambda c: fold_of(c, 5) != 0) -> GatedAttention:
+    """Fit on a bounded sample of the labelled documents, with all passages of each.
 
     ``labels``: doc_id and quality.  Of several labels for a document the smallest counts; null ids
-    and labels are left out.  Texts are encoded by the executors; the driver gets passage features.
+    and labels are left out.  The sample: the ``max_docs`` documents with the smallest hash of their id, of these in
+    that order each that fits with those before into ``max_passages``.  Of rows that share an id the one with the least hash of
+    its text counts.  Texts are encoded by the executors into a stored
+    table; the driver gets the passage features of the sample (348 bytes each).
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & fold(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = docs.select("doc_id").join(marks, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
@@ -224,6 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_docs: int
     spark = docs.sparkSession
     small = spark.createDataFrame(picked, "doc_id long, quality int")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(small), "doc_id")
+    found = found.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "quality", "x.text")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -234,13 +238,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_docs: int
                 for k, row in enumerate(rows):
                     bags[row].append(x[owner == k])
             full = [np.concatenate(b) for b in bags]
-            full = [b if len(b) <= TRAIN_PASSAGES else b[np.linspace(0, len(b) - 1, TRAIN_PASSAGES).astype(int)] for b in full]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "n": [len(b) for b in full], "x": [b.astype("<f4").tobytes() for b in full]})
 
-    rows = sorted(found.mapInPandas(encode, "doc_id long, quality int, n int, x binary").collect(), key=lambda r: (r[0], bytes(r[3])))
-    x = np.concatenate([np.frombuffer(bytes(r[3]), "<f4").reshape(r[2], N_FEATURES) for r in rows]).astype(np.float64)
-    bag = np.repeat(np.arange(len(rows)), [r[2] for r in rows])
-    return GatedAttention().fit(x, bag, np.array([float(r[1]) for r in rows]))
+    stored = Stored(found.mapInPandas(encode, "doc_id long, quality int, n int, x binary"), "passages")
+    taken, total = [], 0
+    for r in stored.df.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if total + r["n"] <= max_passages:
+            total += r["n"]
+            taken.append((r["doc_id"],))
+    rows = sorted(stored.df.join(F.broadcast(spark.createDataFrame(taken, "doc_id long")), "doc_id").collect(), key=lambda r: r["doc_id"])
+    stored.drop()
+    x = np.concatenate([np.zeros((0, N_FEATURES), np.float32), *(np.frombuffer(bytes(r["x"]), "<f4").reshape(r["n"], N_FEATURES) for r in rows)])
+    bag = np.repeat(np.arange(len(rows)), [r["n"] for r in rows])
+    return GatedAttention().fit(x, bag, np.array([float(r["quality"]) for r in rows]))
 
 
 def score(docs: DataFrame, model: GatedAttention, text: str = "text", out: str = "score") -> DataFrame:
