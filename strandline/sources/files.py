@@ -1,12 +1,19 @@
-"""Small files in whatever store Spark's paths name, written whole by a rename."""
+"""Small files in whatever store Spark's paths name, published whole under names that are taken once."""
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+class Conflict(RuntimeError):
+    """Another writer has published since the snapshot was read."""
+
+
 class Files:
     """Text files through Hadoop's file system, as the driver's JVM sees it."""
 
@@ -28,8 +35,13 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Write beside, then rename over: readers see the old file or the new one."""
+    def names(self, path: str) -> list[str]:
+        """What is in a folder; nothing where there is none."""
+        at, fs = self._open(path)
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    def create(self, path: str, text: str) -> bool:
+        """Write beside, then take the name if it is free, in one step: of several writers one succeeds."""
         beside, fs = self._open(f"{path}.{uuid.uuid4().hex}")
         stream = fs.create(beside, True)
         try:
@@ -37,11 +49,54 @@ class Files:
         finally:
             stream.close()
         at, _ = self._open(path)
-        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(beside, at, options)
+        try:
+            if fs.getScheme() == "file":
+                os.link(beside.toUri().getPath(), at.toUri().getPath())
+            else:
+                none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(at), none)
+        except FileExistsError:
+            return False
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        finally:
+            fs.delete(beside, False)
+        return True
 
     def delete(self, path: str) -> None:
         at, fs = self._open(path)
         fs.delete(at, True)
+
+
+class Numbered:
+    """States of one thing as files ``name-<number>.json``: the greatest number holds, and a number is taken once."""
+
+    def __init__(self, files: Files, folder: str, name: str):
+        self.files, self.folder, self.name = files, folder, name
+
+    def _numbers(self) -> list[int]:
+        start, end = f"{self.name}-", ".json"
+        return sorted(int(x[len(start) : -len(end)]) for x in self.files.names(self.folder) if x.startswith(start) and x.endswith(end) and x[len(start) : -len(end)].isdigit())
+
+    def path(self, number: int) -> str:
+        return f"{self.folder}/{self.name}-{number:012d}.json"
+
+    def read(self) -> tuple[int, dict | list | None]:
+        """The number and the state that hold; 0 and None before the first."""
+        while numbers := self._numbers():
+            text = self.files.read(self.path(numbers[-1]))
+            if text is not None:  # else it was cleared away since, and there is a later one
+                return numbers[-1], json.loads(text)
+        return 0, None
+
+    def publish(self, after: int, state: dict | list) -> None:
+        """The state that follows number ``after``; a Conflict if another one does."""
+        if not self.files.create(self.path(after + 1), json.dumps(state)):
+            raise Conflict(f"{self.name} in {self.folder} was written by another session")
+
+    def clear(self, keep: int) -> None:
+        """Delete all but the last ``keep`` states."""
+        for number in self._numbers()[:-keep]:
+            self.files.delete(self.path(number))

@@ -1,7 +1,13 @@
+import io
+import threading
+
 import pytest
 
+from strandline.config import EngineConfig
 from strandline.plans.command import OP_CODES, BadCommand, Command, Quit, Response, parse_command, printed
-from strandline.session import Session
+from strandline.session import Session, Stats
+from strandline.shell import talk
+from strandline.sources.catalog import CatalogError
 from strandline.sources.store import Conflict, VersionStore
 from strandline.sources.wire import FrameError, FrameParser, decode_command, decode_response, encode_command, encode_response
 
@@ -66,24 +72,125 @@ def test_collections(session, spark):
     assert Session(again, clock=clock).run("READ k") == ok("main")
     assert run("DROP COLLECTION default").status == "ERROR" and run("DROP COLLECTION metrics") == ok()
     assert run("READ k") == Response("ERROR", ("no such collection: metrics",))
-    kv = Session(again, engine="kv")
+    kv = Session(again, EngineConfig(engine="kv"))
     assert kv.run("USE default").payload == ("collections are not supported by the KV engine",) and kv.run("SUM a").payload == ("SUM not supported by KV engine",)
 
 
-def test_a_stale_writer_is_refused(spark, tmp_path):
+def test_a_number_is_taken_once(spark, tmp_path):
     store = VersionStore(spark, f"file://{tmp_path}/db")
     entry = store.catalog.get("default")
-    old = store._manifest(entry)
+    number, old = store._manifest(entry)
     Session(store).run("WRITE a 1")
     with pytest.raises(Conflict):
-        store._publish(entry, old, old)
+        store._manifests(entry).publish(number, old)
+
+
+def test_two_writers(spark, tmp_path):
+    """Both write at once, through stores of their own: every write is there, and those that came second are counted."""
+    stats, failed = Stats(), []
+
+    def write(k):
+        s = Session(VersionStore(spark, f"file://{tmp_path}/db"), stats=stats)
+        for j in range(4):
+            failed.extend(x for x in [s.run(f"WRITE w{k}:{j} {j}")] if x != ok())
+        s.close()
+
+    VersionStore(spark, f"file://{tmp_path}/db")
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    s = Session(VersionStore(spark, f"file://{tmp_path}/db"))
+    assert not failed and sorted(s.run("LIST").payload) == [f"w{k}:{j}" for k in range(3) for j in range(4)]
+    seqs = [r["seq"] for r in s.store.versions("default").collect()]
+    assert len(set(seqs)) == 12 and stats.active_connections == 0 and stats.writes == 12
+    assert (stats.write_blocked_attempts > 0) == (stats.write_blocked_total_ms > 0)
+
+
+def test_readers_survive_compaction(spark, tmp_path):
+    store = VersionStore(spark, f"file://{tmp_path}/db")
+    s = Session(store)
+    for line in ("WRITE a 1", "WRITE b 2", "WRITE a 3", "DELETE b"):
+        s.run(line)
+    before = store.live("default", 10)
+    old = store.parts("default")
+    assert s.run("COMPACT") == ok()
+    s.run("WRITE a 4")
+    assert [tuple(r)[:2] for r in before.collect()] == [("a", "3")] and s.run("READ a") == ok("4")
+    store.retain_ms = 0
+    store.vacuum("default")
+    assert not any(store.files.names(p) for p in old) and s.run("READ a") == ok("4")
+    assert len([x for x in store.files.names(old[0].rpartition("/")[0]) if x.startswith("part-")]) == 2
+
+
+def test_compaction_beside_writes(spark, tmp_path, monkeypatch):
+    """In the background, with a write and a second COMPACT while it works."""
+    store = VersionStore(spark, f"file://{tmp_path}/db")
+    s = Session(store, EngineConfig(background=True))
+    for line in ("WRITE a 1", "WRITE a 2", "WRITE b 1"):
+        s.run(line)
+    going, go = threading.Event(), threading.Event()
+    write = VersionStore._write
+
+    def slow(rows, path):
+        if threading.current_thread() is s.working:
+            going.set()
+            go.wait(60)
+        write(rows, path)
+
+    monkeypatch.setattr(VersionStore, "_write", staticmethod(slow))
+    assert s.run("COMPACT") == ok() and going.wait(60)
+    assert s.run("COMPACT") == Response("NOOP") and "compacting=true" in s.run("STATS").payload[0]
+    assert s.run("WRITE c 1") == ok() and s.run("DELETE b") == ok()
+    go.set()
+    s.close()
+    assert sorted(s.run("LIST").payload) == ["a", "c"] and s.run("READ a") == ok("2")
+    assert s.stats.compaction_count == 1 and len(store.parts("default")) == 3 and store._manifest(store.catalog.get("default"))[1]["rows"] == 4
+
+
+def test_collections_are_shared(spark, tmp_path):
+    one, two = (Session(VersionStore(spark, f"file://{tmp_path}/db")) for _ in range(2))
+    assert one.run("CREATE COLLECTION m 5") == ok() and two.run("USE m") == ok() and two.run("CREATE COLLECTION m") == Response("ERROR", ("collection exists",))
+    assert two.run("CREATE COLLECTION n") == ok() and one.run("SHOW COLLECTIONS") == two.run("SHOW COLLECTIONS") == ok("default\t0", "m\t5", "n\t0")
+    two.run("WRITE k v")
+    assert one.run("DROP COLLECTION m") == ok() and two.run("READ k").status == "ERROR"
+
+
+def test_bad_catalogs(spark, tmp_path):
+    good = {"name": "default", "default_ttl_secs": 0, "folder": "default-x"}
+    for k, rows in enumerate(([good, good], [good | {"name": "a_b"}], [{"name": "x"}])):
+        store = VersionStore(spark, f"file://{tmp_path}/{k}")
+        store.catalog.states.publish(1, rows)
+        with pytest.raises(CatalogError):
+            VersionStore(spark, store.root)
 
 
 def test_auto_compaction(spark, tmp_path):
-    s = Session(VersionStore(spark, f"file://{tmp_path}/db"), max_parts=2)
+    s = Session(VersionStore(spark, f"file://{tmp_path}/a"), EngineConfig(max_parts=2))
     for k in range(4):
         s.run(f"WRITE k {k}")
     assert s.stats.compaction_count >= 1 and s.run("READ k") == ok("3")
+    s = Session(VersionStore(spark, f"file://{tmp_path}/b"), EngineConfig(engine="kv", max_dead_ratio=0.5))
+    for k in range(3):
+        assert s.store.dead_ratio("default", 1) == [0.0, 0.0, 0.5][k] and s.stats.compaction_count == 0
+        s.run(f"WRITE k {k}")
+    assert s.stats.compaction_count == 1 and len(s.store.parts("default")) == 1 and s.run("READ k") == ok("2")
+
+
+def test_config():
+    assert EngineConfig.from_args("--engine kv --max-parts 3 --max-dead-ratio 0.5 --background --retain-ms 7".split()) == EngineConfig("kv", 3, 0.5, True, 7)
+    for bad in ("--engine x", "--max-parts -1", "--max-parts", "--max-parts x", "--nope 1", "kv"):
+        with pytest.raises(ValueError):
+            EngineConfig.from_args(bad.split())
+
+
+def test_shell(spark, tmp_path):
+    session, out, errors = Session(VersionStore(spark, f"file://{tmp_path}/db")), io.StringIO(), io.StringIO()
+    talk(session, io.StringIO("write a x  y\nread a\nread b\n\nnope\nsum a\nquit\nread a\n"), out, errors, prompt="")
+    assert out.getvalue() == "OK\nx y\nNot found\nError > SUM: non-numeric value for key a\n" and errors.getvalue() == "Unknown command: nope\n"
+    talk(session, io.StringIO("ping"), out, errors)
+    assert out.getvalue().endswith("> PONG\n> ")
 
 
 @pytest.mark.parametrize("line", ["WRITE k", "READ", "READ a b", "WRITETTL k 0 v", "WRITETTL k x v", "MWRITETTL 1 k", "MWRITETTL 5 a b c", "TTL k", "TTL k -1", "TTL k 4294967296", "INCR", "COUNT", "SUM a b c", "CREATE x", "CREATE COLLECTION a z", "DROP COLLECTION", "SHOW", "NOPE", ""])
