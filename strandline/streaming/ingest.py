@@ -13,21 +13,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strandline.operators.fold import RESULT, KeyState
+from strandline.operators.fold import RESULT, KeyState, fold, versions_of
+from strandline.operators.resolve import newest
 from strandline.operators.ttl import expiry_column
 from strandline.sources.store import VersionStore
 
 
-def ingest(ops: DataFrame, store: VersionStore, collection: str, checkpoint: str, source: str = "stream") -> StreamingQuery:
-    """Append a stream of PUT and DEL commands to a collection, each micro-batch as one snapshot.
+def ingest(ops: DataFrame, store: VersionStore, collection: str, checkpoint: str, source: str = "stream", answers_to: str | None = None) -> StreamingQuery:
+    """Apply a stream of commands to a collection, each micro-batch as one snapshot.
 
-    A batch that is run again after a failure is added once.  Seqs follow (seq, key) within a batch by
-    range partitions: positions are counted per partition and shifted, so no task sees the whole batch.
+    A batch that is run again after a failure is added once.  Writes and deletions are appended as they are.  If a batch has
+    commands that read what they change (or answers are asked for), the newest versions of its keys are looked up and
+    stand before its commands in the fold.  Seqs are 0 or more; within a batch they order the commands of a key.
+    ``answers_to``: a folder in which each batch's answers (operators.fold.RESULT) are written.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         default = store.catalog.get(collection).default_ttl_secs
-        rows = batch.where(F.col("op").isin("PUT", "DEL")).select("key", "seq", F.when(F.col("op") == "PUT", F.coalesce("value", F.lit(""))).alias("value"), (F.col("op") == "DEL").alias("is_tombstone"), F.when(F.col("op") == "PUT", expiry_column(F.col("at_ms"), F.col("ttl_secs"), default)).alias("expiry_ms"))
+        if answers_to is None and batch.where(~F.col("op").isin("PUT", "DEL")).isEmpty():
+            rows = batch.select("key", "seq", F.when(F.col("op") == "PUT", F.coalesce("value", F.lit(""))).alias("value"), (F.col("op") == "DEL").alias("is_tombstone"), F.when(F.col("op") == "PUT", expiry_column(F.col("at_ms"), F.col("ttl_secs"), default)).alias("expiry_ms"))
+        else:
+            # a version as the PUT that leaves it behind: one that expires was written a second before
+            old = newest(store.versions(collection), unique=True).where("NOT is_tombstone").join(batch.select("key").distinct(), "key", "left_semi")
+            ttl, at = F.when(F.col("expiry_ms").isNull(), 0).otherwise(1).cast("bigint"), F.coalesce(F.col("expiry_ms") - 1000, F.lit(0))
+            old = old.select("key", F.lit(-1).cast("bigint").alias("seq"), F.lit("PUT").alias("op"), "value", ttl.alias("ttl_secs"), at.alias("at_ms"))
+            results = fold(old.unionByName(batch.select(*old.columns)), default).where("seq >= 0")
+            if answers_to is not None:
+                results.write.mode("overwrite").parquet(f"{answers_to}/batch={number}")
+            rows = versions_of(results)
         # only the order within a key matters: numbers per key are enough to make (key, seq) unique
         ranked = rows.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("seq", "is_tombstone", "value")) - 1)
         store.append(collection, ranked, source, number)

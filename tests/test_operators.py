@@ -110,27 +110,42 @@ class Model:
         return ("OK" if alive else "NOT_FOUND"), (held[0] if alive and op == "GET" else None)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_fold_against_a_dictionary(spark, seed):
-    rng, model = random.Random(seed), Model(seed * 3)
+@pytest.mark.parametrize("seed, default, timed", [(1, 3, True), (2, 6, True), (3, 0, False), (4, 0, True)])
+def test_fold_against_a_dictionary(spark, seed, default, timed, monkeypatch):
+    """With and without expiry; blocks are so small that keys go through many."""
+    monkeypatch.setattr(fold, "BLOCK", 40)
+    rng, model = random.Random(seed), Model(default)
     rows, want = [], {}
     at = 0
     for seq in range(1500):
         at += rng.randrange(1500)
-        op = rng.choice(["PUT", "DEL", "TTL", "INCR", "INCR", "GET", "EXISTS"])
         key = f"k{rng.randrange(20)}"
-        value = rng.choice(["1", "-7", "+3", "x", "1.5", "", "9223372036854775807"]) if op == "PUT" else None
-        ttl = rng.choice([0, 1, 5]) if op == "TTL" else rng.choice([None, 0, 2]) if op == "PUT" else None
+        still = not timed or (seed == 4 and key < "k15")  # keys without expiry, among others or alone
+        op = rng.choice(["PUT", "DEL", "INCR" if still else "TTL", "INCR", "INCR", "GET", "EXISTS"])
+        value = rng.choice(["1", "-7", "+3", "x", "1.5", "", "9223372036854775806", "99999999999999999999"]) if op == "PUT" else None
+        ttl = rng.choice([0, 1, 5]) if op == "TTL" else rng.choice([None, 0] if still else [None, 0, 2]) if op == "PUT" else None
         rows.append((key, seq, op, value, ttl, at))
         status, payload = model.do(op, key, value, ttl, at)
         want[seq] = status, payload
-    results = fold.fold(spark.createDataFrame(rows, fold.OPS).repartition(3), seed * 3)
+    results = fold.fold(spark.createDataFrame(rows, fold.OPS).repartition(3), default)
     got = {r["seq"]: (r["status"], None if r["status"] == "ERROR" else r["payload"]) for r in results.collect()}
     assert got == want
     live = {r["key"]: (r["value"], r["expiry_ms"]) for r in resolve.live(fold.versions_of(results), at, unique=True).collect()}
     assert live == {k: v for k, v in model.data.items() if v[1] is None or v[1] > at}
 
 
+def test_fold_says_why(spark):
+    rows = [(k, s, op, v, None, 0) for k, v in (("e", ""), ("x", "1x"), ("big", "9" * 25), ("low", "-" + "9" * 25), ("max", "9223372036854775807")) for s, op, v in ((0, "PUT", v), (1, "INCR", None), (2, "GET", None))]
+    rows += [("u", 0, "NOPE", None, None, 0), ("u", 1, "GET", None, None, 0)]
+    got = {(r["key"], r["seq"]): (r["status"], r["payload"], r["writes"]) for r in fold.fold(spark.createDataFrame(rows, fold.OPS)).collect()}
+    for key, seq, op, value, _, _ in rows:
+        state = fold.KeyState()
+        for k, s, o, v, *_ in rows:
+            if k == key and s <= seq:
+                want = state.apply(o, v, None, 0)
+        assert got[key, seq] == want, (key, seq)
+
+
 def test_compaction_keeps_what_is_live(spark):
     rng = random.Random(4)
     rows = [(f"k{rng.randrange(50)}", s, str(s), rng.random() < 0.2, rng.choice([None, NOW, NOW + 5])) for s in range(400)]

@@ -1,6 +1,6 @@
 import datetime
 
-from strandline.operators import fold
+from strandline.operators import fold, resolve
 from strandline.sources.store import VersionStore
 from strandline.streaming import ingest
 
@@ -23,6 +23,21 @@ def test_ingest_adds_each_batch_once(spark, tmp_path):
     assert len(store.parts("default")) == n
 
 
+def test_ingest_applies_all_commands(spark, tmp_path):
+    """Batch by batch the store holds what the fold of all commands leaves, and answers are what it answers."""
+    source, store = f"{tmp_path}/ops", VersionStore(spark, f"file://{tmp_path}/db")
+    rows = [(f"k{i % 5}", i, ["PUT", "INCR", "GET", "DEL", "INCR", "TTL", "INCR"][i % 7], "5" if i % 7 == 0 else None, 3 if i % 7 == 5 else None, i * 400) for i in range(90)]
+    for k in range(0, 90, 30):
+        ops(spark, source, rows[k : k + 30])
+        ingest.ingest(spark.readStream.schema(fold.OPS).parquet(source), store, "default", f"{tmp_path}/ck", answers_to=f"{tmp_path}/answers").awaitTermination(120)
+    whole = fold.fold(spark.createDataFrame(rows, fold.OPS))
+    answers = {(r["seq"], r["status"], r["payload"]) for r in spark.read.parquet(f"{tmp_path}/answers").collect()}
+    assert answers == {(r["seq"], r["status"], r["payload"]) for r in whole.collect()} and len(answers) == 90
+    for now in (0, 20_000, 37_000):
+        want = {tuple(r) for r in resolve.live(fold.versions_of(whole), now, unique=True).collect()}
+        assert {tuple(r) for r in store.live("default", now).collect()} == want
+
+
 def test_answers_equal_the_batch_fold(spark, tmp_path):
     rows = [(f"k{i % 3}", i, ["PUT", "INCR", "GET", "DEL", "INCR", "TTL"][i % 6], "5" if i % 6 == 0 else None, 1 if i % 6 == 5 else None, i * 400) for i in range(60)]
     source = f"{tmp_path}/ops"
