@@ -83,3 +83,26 @@ def event_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(k == 0, "PUT").when(k == 1, "TTL").when(k == 2, "INCR").when(k == 3, "GET").when(k == 4, "DEL").when(k == 5, "INCR").otherwise("EXISTS")
     value = F.when(F.col("event_id") % 14 == 0, money("value")).otherwise((F.col("event_id") % 100).cast("string"))
     return e.select(padded(F.lit("u"), F.col("user_id")).alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.when(k == 0, value).alias("value"), F.when(k == 1, (F.col("event_id") % 4) * 86400).alias("ttl_secs"), epoch_ms("ts").alias("at_ms"))
+
+
+def scripted(default_secs: int) -> str:
+    """The answers to ``event_ops``, a command of each key after the other: f has key, n, seq, status, payload, and the value v and expiry e that are left."""
+    due = f"o.at_ms + {1000 * default_secs}" if default_secs else "CAST(NULL AS BIGINT)"
+    return f"""WITH RECURSIVE o AS (
+  SELECT key, seq, at_ms, row_number() OVER (PARTITION BY key ORDER BY seq) AS n,
+    CASE k WHEN 0 THEN 'PUT' WHEN 1 THEN 'TTL' WHEN 2 THEN 'INCR' WHEN 3 THEN 'GET' WHEN 4 THEN 'DEL' WHEN 5 THEN 'INCR' ELSE 'EXISTS' END AS op,
+    CASE WHEN seq % 14 = 0 THEN money ELSE CAST(seq % 100 AS VARCHAR) END AS value, seq % 4 * 86400 AS ttl
+  FROM (SELECT 'u:' || lpad(CAST(user_id AS VARCHAR), 10, '0') AS key, event_id AS seq, event_id % 7 AS k, epoch_us(ts) // 1000 AS at_ms, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS money FROM events)
+), f AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS payload, CAST(NULL AS VARCHAR) AS v, CAST(NULL AS BIGINT) AS e FROM o
+  UNION ALL
+  SELECT key, n, seq,
+    CASE WHEN op = 'PUT' THEN 'OK' WHEN op = 'INCR' THEN CASE WHEN alive AND NOT whole THEN 'ERROR' ELSE 'OK' END WHEN alive THEN 'OK' ELSE 'NOT_FOUND' END,
+    CASE WHEN op = 'INCR' THEN CASE WHEN NOT alive THEN '1' WHEN whole THEN CAST(CAST(v AS BIGINT) + 1 AS VARCHAR) ELSE 'invalid digit found in string' END WHEN op = 'GET' AND alive THEN v END,
+    CASE WHEN op = 'PUT' THEN value WHEN op = 'DEL' THEN NULL WHEN op = 'INCR' THEN CASE WHEN NOT alive THEN '1' WHEN whole THEN CAST(CAST(v AS BIGINT) + 1 AS VARCHAR) ELSE v END ELSE v END,
+    CASE WHEN op = 'PUT' OR (op = 'INCR' AND NOT alive) THEN due WHEN op = 'DEL' THEN NULL WHEN op = 'TTL' AND alive THEN CASE WHEN ttl > 0 THEN at_ms + 1000 * ttl END ELSE e END
+  FROM (
+    SELECT o.*, f.v, f.e, {due} AS due, f.v IS NOT NULL AND (f.e IS NULL OR f.e > o.at_ms) AS alive, coalesce(regexp_full_match(f.v, '[+-]?[0-9]+'), false) AS whole
+    FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1
+  )
+)"""

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.keys import key_crc32
+from strandline.functions.keys import key_crc32, padded
 from strandline.functions.numeric import parse_f64, parse_i64
 from strandline.operators import aggregate, compact, fold, point, resolve, scan
 from strandline.operators.ttl import expiry_column
-from strandline.queries.mappings import DAY_MS, EVENTS, NOW_MS, ORDERS, SERIES, epoch_ms, event_ops, event_versions, load, money, order_versions, series_versions
+from strandline.plans.command import Command
+from strandline.queries.mappings import DAY_MS, EVENTS, NOW_MS, ORDERS, SERIES, epoch_ms, event_ops, event_versions, load, money, order_versions, scripted, series_versions
+from strandline.session import Session
+from strandline.sources.files import scratch
+from strandline.sources.store import VersionStore
+from strandline.sources.wire import FrameParser, decode_command, encode_command
+from strandline.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,7 +49,7 @@ add(
 )
 
 # point reads
-add("get_hit", lambda s, d: point.read(live_events(s, d), "click:0000000007"), f"WITH {EVENTS} SELECT key, value FROM live WHERE key = 'click:0000000007'")
+add("get_hit", lambda s, d: point.read(live_events(s, d), "click:0000000005"), f"WITH {EVENTS} SELECT key, value FROM live WHERE key = 'click:0000000005'")
 add("get_missing", lambda s, d: point.read(live_events(s, d), "nosuch:0000000000"), f"WITH {EVENTS} SELECT key, value FROM live WHERE key = 'nosuch:0000000000'")
 
 
@@ -71,7 +80,7 @@ add("exists_batch", lambda s, d: point.exists_many(resolve.live(order_versions(s
 add("list_keys", lambda s, d: scan.list_keys(live_events(s, d)), f"WITH {EVENTS} SELECT key FROM live")
 
 # ordered scans
-for name, start, end in (("range_inclusive", "click:0000000010", "purchase:0000000100"), ("range_inverted", "z", "a"), ("range_single", "click:0000000007", "click:0000000007"), ("range_series", "click:1704067200", "click:1706000000")):
+for name, start, end in (("range_inclusive", "click:0000000010", "purchase:0000000100"), ("range_inverted", "z", "a"), ("range_single", "click:0000000005", "click:0000000005"), ("range_series", "click:1704067200", "click:1706000000")):
     rows = (lambda s, d: resolve.live(series_versions(s, d), NOW_MS, unique=True)) if name == "range_series" else live_events
     add(name, lambda s, d, rows=rows, start=start, end=end: scan.scan_range(rows(s, d), start, end), f"WITH {SERIES if name == 'range_series' else EVENTS} SELECT key, value FROM live WHERE key BETWEEN '{start}' AND '{end}'")
 for name, prefix in (("prefix_basic", "view:"), ("prefix_empty", ""), ("prefix_boundary", "click:000000001"), ("prefix_none", "clicks")):
@@ -155,11 +164,20 @@ add("ttl_set", lambda s, d: _left(s, d, "TTL", 7 * 86400), _ALL.format(f"epoch_u
 add("overwrite_clears_ttl", lambda s, d: _left(s, d, "PUT", None), _ALL.format("CAST(NULL AS BIGINT)"))
 
 # mutations
-add(
-    "mset_last_wins",
-    lambda s, d: resolve.live(order_versions(s, d), NOW_MS, unique=True).select("key", "value"),
-    f"WITH {ORDERS} SELECT key, value FROM live",
-)
+def _stored(s: SparkSession) -> VersionStore:
+    return VersionStore(s, f"{scratch(s)}/store-{uuid.uuid4().hex}")
+
+
+def _mset(s: SparkSession, d: str) -> DataFrame:
+    """All orders in two batches of a store, the later one by the later orders; the last write of a key wins."""
+    store, rows = _stored(s), order_versions(s, d)
+    middle = rows.agg(F.floor(F.avg("seq"))).first()[0] or 0
+    for part in (rows.where(F.col("seq") <= middle), rows.where(F.col("seq") > middle)):
+        store.append("default", part.withColumnRenamed("seq", "pos"))
+    return store.live("default", NOW_MS).select("key", "value")
+
+
+add("mset_last_wins", _mset, f"WITH {ORDERS} SELECT key, value FROM live")
 
 
 def _hits(s: SparkSession, d: str) -> DataFrame:
@@ -182,8 +200,19 @@ add(
     lambda s, d: fold.fold(_deletes(s, d)).select("key", "seq", "status"),
     "SELECT event_type AS key, event_id AS seq, CASE WHEN event_id % 3 = 0 OR lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) % 3 = 0 THEN 'OK' ELSE 'NOT_FOUND' END AS status FROM events",
 )
-add("script_fold", lambda s, d: fold.fold(event_ops(s, d), 3 * 86400).select("key", "seq", "status", "payload"), None)
-add("incr_error_intact", lambda s, d: fold.fold(event_ops(s, d)).where("status = 'ERROR'").groupBy("payload").agg(F.count("*").alias("n")), None)
+add("script_fold", lambda s, d: fold.fold(event_ops(s, d), 3 * 86400).select("key", "seq", "status", "payload"), f"{scripted(3 * 86400)} SELECT key, seq, status, payload FROM f WHERE n > 0")
+
+
+def _intact(s: SparkSession, d: str) -> DataFrame:
+    """Each INCR that fails, and what a GET right after it finds."""
+    e = event_ops(s, d).withColumn("seq", F.col("seq") * 2)
+    looks = e.where("op = 'INCR'").select("key", (F.col("seq") + 1).alias("seq"), F.lit("GET").alias("op"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("bigint").alias("ttl_secs"), "at_ms")
+    found = fold.fold(e.unionByName(looks))
+    failed = found.where("status = 'ERROR'").select("key", "seq", F.col("payload").alias("problem"))
+    return failed.join(found.select("key", (F.col("seq") - 1).alias("seq"), F.col("payload").alias("value")), ["key", "seq"])
+
+
+add("incr_error_intact", _intact, f"{scripted(0)} SELECT key, seq * 2 AS seq, payload AS problem, v AS value FROM f WHERE status = 'ERROR'")
 
 
 def _compacted(s: SparkSession, d: str) -> DataFrame:
@@ -193,42 +222,146 @@ def _compacted(s: SparkSession, d: str) -> DataFrame:
 add("compact_equivalence", _compacted, f"WITH {EVENTS} SELECT key, value, expiry_ms FROM live")
 
 
+def _filled(s: SparkSession, d: str) -> VersionStore:
+    """A store that holds the events in three parts."""
+    store, rows = _stored(s), event_versions(s, d).withColumnRenamed("seq", "pos")
+    for k in range(3):
+        # positions count from the part's beginning; the parts follow each other in the order of events
+        low, high = rows.agg(F.min("pos"), F.max("pos")).first()
+        if low is None:
+            return store
+        step = (high - low) // 3 + 1
+        part = rows.where(F.col("pos").between(low + k * step, low + (k + 1) * step - 1))
+        store.append("default", part.withColumn("pos", F.col("pos") - F.lit(low + k * step)))
+    return store
+
+
+def _store_compaction(s: SparkSession, d: str) -> DataFrame:
+    """Live rows by a reader from before COMPACT and by one from after it, with what the collection then holds."""
+    store = _filled(s, d)
+    before, rows = store.live("default", NOW_MS), store.versions("default").count()
+    store.compact("default", NOW_MS)
+    counts = store.versions("default").agg(F.count("*").alias("n_after")).withColumn("n_before", F.lit(rows).cast("bigint"))
+    both = before.withColumn("reader", F.lit("before")).unionByName(store.live("default", NOW_MS).withColumn("reader", F.lit("after")))
+    return both.crossJoin(F.broadcast(counts))  # one row
+
+
+add(
+    "store_compaction",
+    _store_compaction,
+    f"WITH {EVENTS} SELECT key, value, expiry_ms, reader, (SELECT count(*) FROM v) AS n_before, (SELECT count(*) FROM live) AS n_after FROM live, (VALUES ('before'), ('after')) t(reader)",
+)
+add("store_prefix", lambda s, d: scan.scan_prefix(_filled(s, d).live("default", NOW_MS), "view:"), f"WITH {EVENTS} SELECT key, value FROM live WHERE starts_with(key, 'view:')")
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of commands into a store: writes that expire, and deletions."""
+    store = _stored(s)
+    events = s.readStream.schema(load(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    op = F.when(F.col("event_id") % 10 == 7, "DEL").otherwise("PUT")
+    ttl = F.when(F.col("event_id") % 3 == 0, 5 * 86400).otherwise(0).cast("bigint")
+    ops = events.select(padded(F.col("event_type"), F.col("user_id")).alias("key"), F.col("event_id").alias("seq"), op.alias("op"), money("value").alias("value"), ttl.alias("ttl_secs"), epoch_ms("ts").alias("at_ms"))
+    ingest(ops, store, "default", f"{store.root}/checkpoint").awaitTermination()
+    return store.live("default", NOW_MS)
+
+
+add("stream_ingest", _streamed, f"WITH {EVENTS} SELECT key, value, expiry_ms FROM live")
+
+
+def _framed(s: SparkSession, d: str) -> DataFrame:
+    """A WRITE for each event as frames of bytes, cut anywhere, and read back."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sent = b"".join(encode_command(Command("WRITE", items=((k, v, None if pd.isna(t) else int(t)),))) for k, v, t in zip(pdf["key"], pdf["value"], pdf["ttl"]))
+            parser = FrameParser()
+            got = [decode_command(f).items[0] for at in range(0, len(sent), 1000) for f in parser.feed(sent[at : at + 1000])]
+            yield pd.DataFrame(got, columns=["key", "value", "ttl"]).astype({"ttl": "Int64"})
+
+    e = load(s, d, "events")
+    rows = e.select(padded(F.col("event_type"), F.col("event_id")).alias("key"), money("value").alias("value"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 100).alias("ttl"))
+    return rows.mapInPandas(run, "key string, value string, ttl bigint")
+
+
+add("wire_round_trip", _framed, "SELECT event_type || ':' || lpad(CAST(event_id AS VARCHAR), 10, '0') AS key, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS value, CASE WHEN event_id % 2 = 0 THEN event_id % 100 END AS ttl FROM events")
+
+
+def _commands(s: SparkSession, d: str) -> DataFrame:
+    """A session over the nations: what each command answers."""
+    session = Session(_stored(s), clock=lambda: NOW_MS)
+    nations = [(f"nation:{r['n_nationkey']:03d}", str(r["n_regionkey"]), None) for r in load(s, d, "nation").orderBy("n_nationkey").collect()]
+    session.execute(Command("MSET", items=tuple(nations)))
+    session.run("WRITE other x")
+    lines = ["COUNT nation:", "SUM nation:", "MAX nation:000 nation:009", "READ nation:003", "MGET nation:001 nowhere", "RANGE nation:020 nation:022", "SUM other", "DELETE nation:003", "DELETE nation:003", "INCR nation:004", "COUNT nation:", "EXISTS nation:003", "INCR fresh", "SUM disk:"]
+    answers = [(k, line, r.status, "|".join(r.payload)) for k, line in enumerate(lines) for r in [session.run(line)]]
+    return s.createDataFrame(answers, "n long, line string, status string, answer string")
+
+
+add(
+    "session_commands",
+    _commands,
+    """WITH t AS (SELECT 'nation:' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS key, n_regionkey AS r FROM nation)
+SELECT CAST(0 AS BIGINT) AS n, 'COUNT nation:' AS line, 'OK' AS status, (SELECT CAST(count(*) AS VARCHAR) FROM t) AS answer
+UNION ALL SELECT 1, 'SUM nation:', 'OK', (SELECT CAST(CAST(sum(r) AS DOUBLE) AS VARCHAR) FROM t)
+UNION ALL SELECT 2, 'MAX nation:000 nation:009', 'OK', (SELECT CAST(CAST(max(r) AS DOUBLE) AS VARCHAR) FROM t WHERE key <= 'nation:009')
+UNION ALL SELECT 3, 'READ nation:003', 'OK', (SELECT CAST(r AS VARCHAR) FROM t WHERE key = 'nation:003')
+UNION ALL SELECT 4, 'MGET nation:001 nowhere', 'OK', (SELECT key || '|' || r || '|nowhere|' || chr(0) FROM t WHERE key = 'nation:001')
+UNION ALL SELECT 5, 'RANGE nation:020 nation:022', 'OK', (SELECT string_agg(key || '|' || r, '|' ORDER BY key) FROM t WHERE key BETWEEN 'nation:020' AND 'nation:022')
+UNION ALL SELECT 6, 'SUM other', 'ERROR', 'SUM: non-numeric value for key other'
+UNION ALL SELECT 7, 'DELETE nation:003', 'OK', ''
+UNION ALL SELECT 8, 'DELETE nation:003', 'NOT_FOUND', ''
+UNION ALL SELECT 9, 'INCR nation:004', 'OK', (SELECT CAST(r + 1 AS VARCHAR) FROM t WHERE key = 'nation:004')
+UNION ALL SELECT 10, 'COUNT nation:', 'OK', (SELECT CAST(count(*) - 1 AS VARCHAR) FROM t)
+UNION ALL SELECT 11, 'EXISTS nation:003', 'NOT_FOUND', ''
+UNION ALL SELECT 12, 'INCR fresh', 'OK', '1'
+UNION ALL SELECT 13, 'SUM disk:', 'NOT_FOUND', ''""",
+)
+
+
 def _by_part(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "lineitem").select(
-        F.concat(F.lit("p:"), F.lpad(F.col("l_partkey").cast("string"), 10, "0")).alias("key"),
-        F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_suppkey").alias("place"),
-    )
+    """part -> price; a line's place among the lines of all orders is its seq, the remaining columns break ties."""
+    place = F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_suppkey")
+    return load(s, d, "lineitem").select(padded(F.lit("p"), F.col("l_partkey")).alias("key"), place.alias("seq"), money("l_extendedprice").alias("value"), F.lit(False).alias("is_tombstone"), F.lit(None).cast("bigint").alias("expiry_ms"))
 
 
-# heavy overwrite: the last line of each part, by order, line and the remaining columns
+# heavy overwrite
 add(
     "last_price_by_part",
-    lambda s, d: _by_part(s, d).groupBy("key").agg(F.max("place").alias("p")).select("key", F.col("p.l_orderkey").alias("seq"), F.col("p.l_extendedprice").cast("decimal(18,2)").cast("string").alias("value")),
+    lambda s, d: resolve.newest(_by_part(s, d)).where(resolve.alive(NOW_MS)).select("key", F.col("seq.l_orderkey").alias("seq"), "value"),
     "SELECT 'p:' || lpad(CAST(l_partkey AS VARCHAR), 10, '0') AS key, l_orderkey AS seq, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS value FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC, l_quantity DESC, l_discount DESC, l_tax DESC, l_suppkey DESC) = 1",
 )
 
 
 # collections
+def _collections(s: SparkSession, d: str) -> VersionStore:
+    """A collection for each event type, with a default time to live of its own, holding the values of users."""
+    store = _stored(s)
+    e = load(s, d, "events").select("event_type", F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("pos"), money("value").alias("value"), F.lit(False).alias("is_tombstone"), F.lit(None).cast("bigint").alias("expiry_ms"))
+    for name in sorted(r[0] for r in e.select("event_type").distinct().collect()):
+        store.catalog.create(name, 60 * len(name))
+        store.append(name, e.where(F.col("event_type") == name).drop("event_type"))
+    return store
+
+
 def _isolated(s: SparkSession, d: str) -> DataFrame:
-    """The same key in one collection for each event type."""
-    e = load(s, d, "events")
-    v = e.select("event_type", F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), money("value").alias("value"))
-    best = F.max(F.struct("seq", "value")).alias("v")
-    return v.groupBy(F.col("event_type").alias("collection"), "key").agg(best).select("collection", "key", "v.value")
+    """The same keys in all collections: each answers from its own."""
+    store = _collections(s, d)
+    found = [store.live(name, NOW_MS).select(F.lit(name).alias("collection"), "key", "value") for name, _ in store.catalog.show()]
+    return reduce(DataFrame.union, found)
 
 
 add("collections_isolation", _isolated, "SELECT event_type AS collection, CAST(user_id AS VARCHAR) AS key, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) = 1")
-add("show_collections", lambda s, d: load(s, d, "events").select(F.col("event_type").alias("name")).distinct().withColumn("default_ttl_secs", F.lit(0).cast("bigint")).orderBy("name"), "SELECT DISTINCT event_type AS name, CAST(0 AS BIGINT) AS default_ttl_secs FROM events")
+add("show_collections", lambda s, d: _collections(s, d).catalog.table(), "SELECT DISTINCT event_type AS name, CAST(60 * length(event_type) AS BIGINT) AS default_ttl_secs FROM events UNION ALL SELECT 'default', 0")
 
 # scalar functions
 _TEXTS = ["+1", ".5", "5.", "1e5", "1e+5", "inf", "-inf", "+INFINITY", "-0", "", " 1 ", "\t1", "1\n", "1d", "1.0f", "0x1p3", "1_0", ".", "1e", "+", "e5", "0", "-5", "9223372036854775807", "9223372036854775808", "1.5"]
 
 
 def _parsed(s: SparkSession, d: str) -> DataFrame:
-    """Whether each text, after each event's value, is a float and an integer."""
+    """What each event's value, and each of some texts, is as a float and as an integer; null if it is none."""
     e = load(s, d, "events").select(money("value").alias("value"))
     texts = e.select(F.explode(F.array(F.col("value"), *[F.lit(t) for t in _TEXTS])).alias("text"))
-    return texts.groupBy("text").agg(F.count("*").alias("n")).select("text", "n", parse_f64(F.col("text")).isNotNull().alias("is_float"), parse_i64(F.col("text")).isNotNull().alias("is_integer"))
+    return texts.groupBy("text").agg(F.count("*").alias("n")).select("text", "n", parse_f64(F.col("text")).alias("as_float"), parse_i64(F.col("text")).alias("as_integer"))
 
 
 _LIST = ", ".join("('" + t + "')" if t not in ("\t1", "1\n") else ("(chr(9) || '1')" if t == "\t1" else "('1' || chr(10))") for t in _TEXTS)
@@ -236,10 +369,19 @@ add(
     "parse_numbers",
     _parsed,
     f"""WITH t AS (SELECT CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS text FROM events UNION ALL SELECT x FROM events, (VALUES {_LIST}) v(x))
-SELECT text, count(*) AS n, regexp_full_match(text, '[+-]?(([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))') AS is_float,
-  regexp_full_match(text, '[+-]?[0-9]+') AND TRY_CAST(text AS BIGINT) IS NOT NULL AS is_integer FROM t GROUP BY text""",
+SELECT text, count(*) AS n, CASE WHEN regexp_full_match(text, '[+-]?(([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))') THEN TRY_CAST(text AS DOUBLE) END AS as_float,
+  CASE WHEN regexp_full_match(text, '[+-]?[0-9]+') THEN TRY_CAST(text AS BIGINT) END AS as_integer FROM t GROUP BY text""",
+)
+# the polynomial's table and the steps over a key's bytes, by rule
+_CRC = """c AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(CAST(range(8) AS BIGINT[]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) AS x
+)"""
+add(
+    "key_checksums",
+    lambda s, d: live_events(s, d).select("key", F.length("key").cast("bigint").alias("size"), key_crc32(F.col("key")).alias("crc")),
+    f"""WITH {EVENTS}, {_CRC} SELECT key, CAST(length(key) AS BIGINT) AS size,
+  xor(4294967295, list_reduce(list_transform(range(1, strlen(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT)), lambda a, b: xor(a >> 8, x[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS crc FROM live, c""",
 )
-add("key_checksums", lambda s, d: live_events(s, d).select("key", F.length("key").cast("bigint").alias("size"), (key_crc32(F.col("key")) >= 0).alias("has_crc")), f"WITH {EVENTS} SELECT key, CAST(length(key) AS BIGINT) AS size, true AS has_crc FROM live")
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share, from ``spark.checkpoint.dir``; a local session without it gets a temporary one."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        found = f"file://{tempfile.mkdtemp(prefix='strandline-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 class Conflict(RuntimeError):
     """Another writer has published since the snapshot was read."""
 
