@@ -81,7 +81,8 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, text: str = "text",
     """``docs`` with the text that remains, and the counts of its lines before and of those removed."""
     columns = [c for c in docs.columns if c not in (text, lines, removed)]
     cuts = repeated(docs, run_words, text).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("cuts").alias("__cuts"))
-    both = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["__id"]) & (F.xxhash64(docs[text]) == cuts["__th"]), "left")
+    # cuts grow with the documents, so texts meet them by the same shuffle at every size
+    both = docs.join(cuts.hint("merge"), docs["doc_id"].eqNullSafe(cuts["__id"]) & (F.xxhash64(docs[text]) == cuts["__th"]), "left")
     both = both.select(*columns, F.col(text).alias("__text"), "__cuts", F.split(text, "\n").alias("__lines"))
     # what is kept lies between the end of a cut and the start of the next
     ends = F.concat(F.array(F.lit(-1)), F.col("__cuts")["j"])
