@@ -222,7 +222,7 @@ def _compacted(s: SparkSession, d: str) -> DataFrame:
 add("compact_equivalence", _compacted, f"WITH {EVENTS} SELECT key, value, expiry_ms FROM live")
 
 
-def _filled(s: SparkSession, d: str) -> VersionStore:
+def filled(s: SparkSession, d: str) -> VersionStore:
     """A store that holds the events in three parts."""
     store, rows = _stored(s), event_versions(s, d).withColumnRenamed("seq", "pos")
     for k in range(3):
@@ -238,7 +238,7 @@ def _filled(s: SparkSession, d: str) -> VersionStore:
 
 def _store_compaction(s: SparkSession, d: str) -> DataFrame:
     """Live rows by a reader from before COMPACT and by one from after it, with what the collection then holds."""
-    store = _filled(s, d)
+    store = filled(s, d)
     before, rows = store.live("default", NOW_MS), store.versions("default").count()
     store.compact("default", NOW_MS)
     counts = store.versions("default").agg(F.count("*").alias("n_after")).withColumn("n_before", F.lit(rows).cast("bigint"))
@@ -251,7 +251,7 @@ add(
     _store_compaction,
     f"WITH {EVENTS} SELECT key, value, expiry_ms, reader, (SELECT count(*) FROM v) AS n_before, (SELECT count(*) FROM live) AS n_after FROM live, (VALUES ('before'), ('after')) t(reader)",
 )
-add("store_prefix", lambda s, d: scan.scan_prefix(_filled(s, d).live("default", NOW_MS), "view:"), f"WITH {EVENTS} SELECT key, value FROM live WHERE starts_with(key, 'view:')")
+add("store_prefix", lambda s, d: scan.scan_prefix(filled(s, d).live("default", NOW_MS), "view:"), f"WITH {EVENTS} SELECT key, value FROM live WHERE starts_with(key, 'view:')")
 
 
 def _streamed(s: SparkSession, d: str) -> DataFrame:
