@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,6 +159,12 @@ def certified(rejected: dict[int, int], good: int, steps: int, strata: int, risk
     return steps
 
 
+def _local(spark: SparkSession, columns: dict[str, list], values: pa.DataType) -> DataFrame:
+    """A small table of a first column of strings and others of ``values``; it travels in the plan, so no executor starts Python for it."""
+    names = list(columns)
+    return spark.createDataFrame(pa.table([pa.array(columns[n], values if k else pa.string()) for k, n in enumerate(names)], names=names))
+
+
 def calibrate(found: DataFrame, labels: DataFrame, stratum: str = "lang") -> dict[tuple[str | None, str], float]:
     """Cutoff of each (stratum, rule) that gets one, from labelled documents; ``found``: doc_id, stratum and what ``features`` gives."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__q"))
@@ -176,11 +183,12 @@ def calibrate(found: DataFrame, labels: DataFrame, stratum: str = "lang") -> dic
         proposed[row["s"]][row["rule"]][row["k"]] = row["good"], row["bad"]
     paths = {s: path(proposed[s], totals.get((s, True, True), 0), totals.get((s, True, False), 0)) for s in strata}
     # the first step that rejects a document: for each rule the first whose cutoff reaches the document's cell
-    firsts = []
+    firsts = {"s": [], **{f"__{r}": [] for r in RULES}}
     for s, steps in paths.items():
-        reached = [[next((n for n, (rule, k) in enumerate(steps) if rule == r and k >= cell), None) for cell in range(GRID_STEPS)] for r in RULES]
-        firsts.append((s, *reached))
-    steps_of = found.sparkSession.createDataFrame(firsts, "s string, " + ", ".join(f"__{r} array<int>" for r in RULES))
+        firsts["s"].append(s)
+        for r in RULES:
+            firsts[f"__{r}"].append([next((n for n, (rule, k) in enumerate(steps) if rule == r and k >= cell), None) for cell in range(GRID_STEPS)])
+    steps_of = _local(found.sparkSession, firsts, pa.list_(pa.int32()))
     step = F.least(*[F.get(F.col(f"__{r}"), F.col(r)) for r in RULES])
     rejected: dict[str, dict[int, int]] = {s: {} for s in strata}
     for row in stored.df.where(F.col("q") & ~F.col("proposes")).join(steps_of, "s").select("s", step.alias("step")).where("step IS NOT NULL").groupBy("s", "step").count().collect():
@@ -199,7 +207,8 @@ def verdicts(found: DataFrame, cutoffs: dict[tuple[str | None, str], float], str
     for (s, r), c in cutoffs.items():
         rows.setdefault(s, dict.fromkeys(RULES))[r] = c
     spark = found.sparkSession
-    limits = spark.createDataFrame([("" if s is None else f"={s}", *v.values()) for s, v in rows.items()], "__s string, " + ", ".join(f"__{r} double" for r in RULES))
+    limits = {"__s": ["" if s is None else f"={s}" for s in rows], **{f"__{r}": [v[r] for v in rows.values()] for r in RULES}}
+    limits = _local(spark, limits, pa.float64())
     columns = [c for c in found.columns if c not in ("base_failed", "kept")]
     beyond = [F.coalesce(ratio > F.col(f"__{name}"), F.lit(False)) for name, ratio in zip(RULES, ratios())]
     hit = beyond[0]

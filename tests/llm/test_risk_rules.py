@@ -132,3 +132,11 @@ def test_odd_rows(spark, odd_docs):
     rows = out.collect()
     assert len(rows) == odd_docs.count() and all(r["kept"] == (not r["base_failed"]) for r in rows)
     assert q.features(odd_docs.limit(0)).isEmpty()
+
+
+def test_cutoffs_travel_in_the_plan(spark):
+    """A table made of a list would start Python on the executors, beside a JVM that holds the features."""
+    docs = spark.range(3).selectExpr("id AS doc_id", "'en' AS lang", "'a b c' AS text")
+    out = q.verdicts(q.features(docs), {("en", "symbols"): 0.1, (None, "repeats"): 0.2})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan and out.count() == 3
