@@ -77,3 +77,19 @@ def test_vocabularies_of_another_kind_are_refused():
     for key, value in changes:
         with pytest.raises(ValueError, match="another kind"):
             b.PrefixCoder(json.dumps(spec | {key: value}))
+
+
+def test_many_texts_together(coder, library, monkeypatch):
+    """Words of all lengths together, with so few states and places that all are forgotten and met again."""
+    monkeypatch.setattr(b, "STATES", 40)
+    monkeypatch.setattr(b, "PLACES", 6)
+    monkeypatch.setattr(b, "CHUNKS", 50)
+    monkeypatch.setattr(b, "REMEMBERED", 64)
+    own = b.PrefixCoder(coder.content)
+    rng = random.Random(2)
+    names = [t.replace("</w>", "") for t in sorted(library.get_vocab())]
+    word = lambda: "".join(rng.choice(names) if rng.random() < 0.3 else rng.choice(["é", "a", "st", "ing", "ß", "'s", "7", ",", "日本", "Σ", "x" * 70]) for _ in range(rng.randint(1, 6)))
+    texts = [None, "", *(" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(60)), "<|endoftext|>a b<|startoftext|>"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(p, "<u4").tolist() for p in own.encode_many(texts)] == want
