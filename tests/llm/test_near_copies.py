@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from strandline.llm import near_copies as n
@@ -97,3 +98,28 @@ def test_stage_tells_texts_of_one_id_apart(spark, prose):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted((r["doc_id"] or 0, r["source"]) for r in simhash_ring.stage(spark, docs, "").collect())
     assert got == sorted([(0, "f"), (0, "g"), (1, "a" if one < one.upper() else "c"), (1, "b"), (3, "e")])
+
+
+def test_pairs_by_fingerprints_and_chains(prose, monkeypatch):
+    """All pairs at just the similarity are candidates, for small sets and large; hardly any others are."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(n, "_PAIRS", 500)
+    for size in (4, 5, 8, 9, 16, 40, 79, 80, 300):
+        sets = []
+        for _ in range(60):
+            both = rng.integers(0, 1 << 63, size, np.uint64)
+            # one fifth more on one side: the similarity is 0.8 or a little above
+            sets += [np.sort(both), np.sort(np.append(both, rng.integers(0, 1 << 63, size // 4, np.uint64)))]
+        found = set(n.candidates(n.fingerprints(sets), np.array([len(x) for x in sets])))
+        assert {(k, k + 1) for k in range(0, 120, 2)} <= found
+        # sets of four are alike by chance
+        assert size < 8 or len(found) <= 65
+
+
+def test_links_are_found_by_fingerprints(prose, monkeypatch):
+    """No pair is compared that the chains don't let through."""
+    text = prose(1, 200)
+    sets = [n.shingles(t.encode()) for t in (text, text + " more words", prose(2, 200))]
+    assert n.forest([1, 2, 3], sets, [1, 2, 3]) == [(2, 1)]
+    monkeypatch.setattr(n, "fingerprints", lambda sets: np.arange(len(sets) * n.WORDS, dtype=np.uint64).reshape(-1, n.WORDS) * np.uint64(0x9E3779B97F4A7C15))
+    assert n.forest([1, 2, 3], sets, [1, 2, 3]) == []
